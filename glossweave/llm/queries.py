@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .mixing import op10_mixing
 from .simhash import op1_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op6_bpe": op6_bpe,
     "op10_mixing": op10_mixing,
 }
 

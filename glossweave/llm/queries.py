@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .embedding_dedup import op8_epsilon_grid
 from .mixing import op10_mixing
 from .simhash import op1_simhash
 from .toxicity import op2_toxicity
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op6_bpe": op6_bpe,
+    "op8_epsilon_grid": op8_epsilon_grid,
     "op10_mixing": op10_mixing,
 }
 

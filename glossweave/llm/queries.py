@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_ivfpq
 from .bpe import op6_bpe
 from .embedding_dedup import op8_epsilon_grid
 from .mixing import op10_mixing
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op4_ivfpq": op4_ivfpq,
     "op6_bpe": op6_bpe,
     "op8_epsilon_grid": op8_epsilon_grid,
     "op10_mixing": op10_mixing,

@@ -6,6 +6,7 @@ from .ann import op4_ivfpq
 from .bpe import op6_bpe
 from .embedding_dedup import op8_epsilon_grid
 from .mixing import op10_mixing
+from .pii import op9_pii
 from .simhash import op1_simhash
 from .toxicity import op2_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_ivfpq": op4_ivfpq,
     "op6_bpe": op6_bpe,
     "op8_epsilon_grid": op8_epsilon_grid,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 

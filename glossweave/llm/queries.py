@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op4_ivfpq
 from .bpe import op6_bpe
 from .embedding_dedup import op8_epsilon_grid
+from .line_dedup import op5_line_chunks
 from .mixing import op10_mixing
 from .pii import op9_pii
 from .simhash import op1_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op4_ivfpq": op4_ivfpq,
+    "op5_line_chunks": op5_line_chunks,
     "op6_bpe": op6_bpe,
     "op8_epsilon_grid": op8_epsilon_grid,
     "op9_pii": op9_pii,

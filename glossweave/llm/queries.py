@@ -9,11 +9,13 @@ from .line_dedup import op5_line_chunks
 from .mixing import op10_mixing
 from .pii import op9_pii
 from .simhash import op1_simhash
+from .suffix_dedup import op3_suffix
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix": op3_suffix,
     "op4_ivfpq": op4_ivfpq,
     "op5_line_chunks": op5_line_chunks,
     "op6_bpe": op6_bpe,

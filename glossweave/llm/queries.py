@@ -11,6 +11,7 @@ from .pii import op9_pii
 from .simhash import op1_simhash
 from .suffix_dedup import op3_suffix
 from .toxicity import op2_toxicity
+from .warc import OP7_SQL, op7_revisits
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -19,9 +20,10 @@ QUERIES = {
     "op4_ivfpq": op4_ivfpq,
     "op5_line_chunks": op5_line_chunks,
     "op6_bpe": op6_bpe,
+    "op7_revisits": op7_revisits,
     "op8_epsilon_grid": op8_epsilon_grid,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_revisits": OP7_SQL}

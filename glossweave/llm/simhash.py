@@ -173,7 +173,7 @@ def links(nodes: DataFrame, scratch: Scratch, tau: int = 4, tile: int = 20_000)
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, tile: int = 20_000) -> DataFrame:
-    """One row a row of ``docs``: ``doc_id, fp, component_id`` (smallest doc_id reachable by links).
+    """One row a row of ``docs``: ``doc_id, fp, component_id`` (smallest doc_id reachable by links), ``root`` (its smallest fingerprint).
 
     Null, empty and blank texts have fingerprint 0 and link like any other.
     Equal texts and repeated rows share a fingerprint, hence a component. A null
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, tile: int = 2
     roots = scratch.table(connected_components(links(nodes, scratch, tau, tile), scratch), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.select("fp", "root").join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root")
-    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,8 @@ def _confidence(reasons: Column) -> Column:
 
 def _worst(tag: Column, reasons: Column) -> Column:
     """The lowest precision among the tag and every class that a reason mentions."""
-    mentioned = F.array(*[F.when(F.exists(reasons, lambda r, c=c: r.contains(c)), p) for c, p in PRECISION.items()])
+    names = lambda c: F.exists(reasons, lambda r: r.contains(c))
+    mentioned = F.array(*[F.when(names(c), p) for c, p in PRECISION.items()])
     return F.least(_precision(tag), F.coalesce(F.array_min(mentioned), F.lit(1.0)))
 
 

@@ -119,7 +119,13 @@ def gloss_model(rows: DataFrame, label: str = "label", c: float = 4.0, features:
 def with_grams(rows: DataFrame) -> DataFrame:
     w = T.basic_tokens(F.col("gloss"))
     two = F.transform(F.filter(F.sequence(F.lit(0), F.size("__t")), lambda i: i < F.size("__t") - 1), lambda i: F.concat_ws(" ", F.get("__t", i), F.get("__t", i + 1)))
-    char = F.flatten(F.transform("__t", lambda t: F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(1), F.length(t) + 2), lambda i, k=k: i + k <= F.length(t) + 3), lambda i, k=k, t=t: F.substring(F.concat(F.lit(" "), t, F.lit(" ")), i, F.lit(k))) for k in (3, 4, 5)]))))
+
+    def pieces(t: Column, k: int) -> Column:
+        """A word's k-grams, with a blank before and after it."""
+        at = F.filter(F.sequence(F.lit(1), F.length(t) + 2), lambda i: i + k <= F.length(t) + 3)
+        return F.transform(at, lambda i: F.substring(F.concat(F.lit(" "), t, F.lit(" ")), i, F.lit(k)))
+
+    char = F.flatten(F.transform("__t", lambda t: F.flatten(F.array(*[pieces(t, k) for k in (3, 4, 5)]))))
     return rows.withColumn("__t", w).withColumn("words", F.concat("__t", two)).withColumn("chars", char).drop("__t")
 
 

@@ -27,8 +27,10 @@ def gaussian_mixture_bic(table: DataFrame, column: str, k: tuple[int, ...] = (1,
     from pyspark.ml.feature import VectorAssembler
 
     x = VectorAssembler(inputCols=[column], outputCol="features").transform(table.select(F.col(column).cast("double")).dropna())
-    n = x.count()
-    return [(i, (3 * i - 1) * float(np.log(n)) - 2 * GaussianMixture(k=i, seed=seed).fit(x).summary.logLikelihood) for i in k]
+    n, var = x.agg(F.count("*"), F.var_pop(column)).first()
+    one = -n / 2 * (np.log(2 * np.pi * var) + 1) if var else 0.0
+    fit = lambda i: GaussianMixture(k=i, seed=seed).fit(x).summary.logLikelihood if i > 1 else float(one)
+    return [(i, (3 * i - 1) * float(np.log(n)) - 2 * fit(i)) for i in k]
 
 
 def dip(histogram: DataFrame, column: str, count: str = "n") -> float:

@@ -4,11 +4,12 @@ Pre-tokens are listed with their positions, each distinct one is encoded once in
 the whole corpus, ids are joined back, and texts are put together by position;
 decoding joins the table of token bytes.
 
-Positions travel as a block of documents: a block lists its distinct words once
-(``block, word, slot``), and its texts as sequences of slots. So what is
-shuffled is one row a block and distinct word, and 2 to 4 bytes a token before
-compression, however often a word occurs. A word as frequent as can be has one
-row a block.
+What travels is packed by blocks of documents. A block holds its texts as
+sequences of slots (the positions), and lists its distinct words once, dealt by
+a hash of the word into buckets. The first exchange brings a bucket's words from
+all blocks together, where each is encoded once; the second brings the ids back
+to their block. A row is a block's part of a bucket, so no word is ever a hot
+key: it has one entry a block, however often it occurs.
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ._shared import Scratch, documents
+from ._shared import documents
 
-BLOCK = "block long, kind int, slot int, word binary, ids array<long>, known array<boolean>, lengths binary, slots binary"
+#: Kind 0: a block's documents (ids, lengths) and positions (data). Kind 1: words of one bucket (data) and their slots. Kind 2: their ids (data) and numbers of ids (lengths).
+ROW = "block long, kind int, bucket int, docs array<long>, known array<boolean>, lengths binary, slots binary, data binary"
+FIELDS = [("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("slots", pa.binary()), ("data", pa.binary())]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,37 +76,86 @@ def _encoder(v: Vocabulary) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
-def blocks(docs: DataFrame, pattern: str, block_bytes: int = 8 << 20) -> DataFrame:
-    """Kind 0: a block's documents as sequences of slots. Kind 1: its distinct words. A block ends after ``block_bytes`` of text."""
+_TOKENS: dict[int, dict[int, bytes]] = {}
+
+
+def _tokens(v: Vocabulary) -> dict[int, bytes]:
+    """The table of token bytes, as large as the vocabulary, on an executor."""
+    key = hash((v.packed, v.pattern))
+    if key not in _TOKENS:
+        _TOKENS[key] = {r: t for t, r in v.ranks().items()}
+    return _TOKENS[key]
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    """Compressed; numbers by planes of their bytes, whose upper ones are nearly constant."""
+    if not isinstance(x, bytes):
+        x = np.ascontiguousarray(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(x)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _pack_codes(x: np.ndarray) -> bytes:
+    """Slots by frequency, near their entropy: lengths in bits, compressed, and then by length the bits below the leading one."""
+    v = x.astype(np.uint32) + np.uint32(1)
+    length = (np.frexp(v.astype(np.float64))[1] - 1).astype(np.uint8)
+    parts = [zstandard.ZstdCompressor(level=3).compress(length.tobytes())]
+    for k in range(1, 32):
+        own = v[length == k]
+        parts.append(np.packbits(np.unpackbits(own.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - k :]).tobytes())
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    sizes = np.frombuffer(data, np.uint32, 32)
+    ends = np.cumsum(sizes.astype(np.int64)) + 128
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[128 : ends[0]]), np.uint8)
+    v = np.left_shift(np.uint32(1), length.astype(np.uint32))
+    for k in range(1, 32):
+        at = np.flatnonzero(length == k)
+        if len(at):
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, int(sizes[k]), int(ends[k - 1])), count=len(at) * k).reshape(-1, k)
+            wide = np.zeros((len(at), 32), np.uint8)
+            wide[:, 32 - k :] = bits
+            v[at] |= np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
+    return v - np.uint32(1)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(FIELDS)], schema=pa.schema(FIELDS))
+
+
+def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = 32 << 20) -> DataFrame:
+    """The documents' positions (kind 0) and distinct words (kind 1); a block ends after ``block_chars`` of text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pack, seq = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=3).compress, 0
-        part = TaskContext.get().partitionId() << 32
+        find, seq, size = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
         slot: dict[str, int] = {}
-        ids: list = []
-        lengths: list[int] = []
-        sequences: list[np.ndarray] = []
+        ids, lengths, sequences = [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seq
-            block, words = part | seq, list(slot)
-            codes = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
-            rows = {
-                "block": [block], "kind": [0], "slot": [None], "word": [None], "ids": [ids], "known": [[x is not None for x in ids]],
-                "lengths": [pack(np.array(lengths, np.uint32).tobytes())], "slots": [pack(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())],
-            }
-            schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("slot", pa.int32()), ("word", pa.binary()), ("ids", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("slots", pa.binary())])
-            yield pa.RecordBatch.from_pydict(rows, schema)
-            for k in range(0, len(words), 10_000):
-                some = words[k : k + 10_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array(range(k, k + n), pa.int32()), pa.array([w.encode() for w in some], pa.binary()), *[pa.nulls(n, f.type) for f in list(schema)[4:]]], schema=schema)
+            codes = np.concatenate(sequences)
+            order = np.argsort(-np.bincount(codes, minlength=len(slot)), kind="stable")  # frequent words get small slots
+            rank = np.empty(len(slot), np.uint32)
+            rank[order] = np.arange(len(slot), dtype=np.uint32)
+            yield _rows([(seq, 0, int(xxhash.xxh32_intdigest(str(seq))) % buckets, ids, [x is not None for x in ids], _pack(np.array(lengths)), None, _pack_codes(rank[codes]))])
+            dealt: dict[int, list] = {}
+            for word, k in slot.items():
+                raw = word.encode()
+                dealt.setdefault(xxhash.xxh32_intdigest(raw) % buckets, []).append((raw, k))
+            for bucket, words in dealt.items():
+                words.sort()
+                yield _rows([(seq, 1, bucket, None, None, _pack(np.array([len(w) for w, _ in words])), _pack(rank[[k for _, k in words]]), _pack(b"".join(w for w, _ in words)))])
             seq += 1
             slot.clear()
             for x in (ids, lengths, sequences):
                 x.clear()
 
-        size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = find(text or "")
@@ -110,24 +164,39 @@ def blocks(docs: DataFrame, pattern: str, block_bytes: int = 8 << 20) -> DataFra
                 ids.append(doc_id)
                 lengths.append(len(words))
                 size += len(text or "")
-                if size >= block_bytes:
+                if size >= block_chars:
                     yield from close()
                     size = 0
         if ids:
             yield from close()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROW)
 
 
-def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """``word`` and its ``ids``. Each distinct word is encoded once, where the shuffle has put it."""
+def encode_words(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """Kind 1 becomes kind 2: a bucket's distinct words are encoded once each; kind 0 passes."""
 
-    @F.pandas_udf("array<int>")
-    def ids(word: pd.Series) -> pd.Series:
-        piece = _encoder(v)._encode_single_piece
-        return word.map(lambda w: piece(bytes(w)))
-
-    return words.withColumn("ids", ids("word"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, known, bucket = _encoder(v)._encode_single_piece, {}, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column(1)[k].as_py() == 0:
+                    yield batch.slice(k, 1)
+                    continue
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["bucket"] != bucket:
+                    known, bucket = {}, row["bucket"]
+                data, at, found = zstandard.ZstdDecompressor().decompress(row["data"]), 0, []
+                for n in _unpack(row["lengths"]).tolist():
+                    word = data[at : at + n]
+                    at += n
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(piece(word), np.uint32)
+                    found.append(ids)
+                yield _rows([(row["block"], 2, bucket, None, None, _pack(np.array([len(x) for x in found])), row["slots"], _pack(np.concatenate(found)))])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
 
 
 def decode_ids(encoded: DataFrame, v: Vocabulary, key: str) -> DataFrame:
@@ -140,24 +209,39 @@ def decode_ids(encoded: DataFrame, v: Vocabulary, key: str) -> DataFrame:
     return each.select(key, F.filter(F.transform("t", lambda x: x["id"]), lambda x: x.isNotNull()).alias("ids"), joined.alias("bytes"))
 
 
-def _encoded_blocks(docs: DataFrame, v: Vocabulary, scratch: Scratch):
-    cut = scratch.table(blocks(docs, v.pattern), "blocks")
-    listed = cut.where("kind = 1").select("block", "slot", "word").repartition("word")
-    coded = encode_words(listed.groupBy("word").agg(F.count("*").alias("in_blocks")), v).select("word", "ids")
-    back = listed.join(decode_ids(coded, v, "word"), "word").select(F.col("block").alias("b"), "slot", "ids", "bytes")
-    return cut.where("kind = 0").select("block", F.col("ids").alias("docs"), "known", "lengths", "slots"), back
-
-
-def _each_document(left: pa.Table) -> Iterator[tuple]:
-    """Document by document of a block: its id and the slots of its words."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for row in left.to_pylist():
-        lengths = np.frombuffer(unpack(row["lengths"]), np.uint32)
-        flat = np.frombuffer(unpack(row["slots"]), np.uint8) if row["slots"] else np.zeros(0, np.uint8)
-        codes = np.ascontiguousarray(flat.reshape(4, -1).T).view(np.uint32).ravel()
-        ends = np.cumsum(lengths)
-        for doc_id, known, a, b in zip(row["docs"], row["known"], (ends - lengths).tolist(), ends.tolist()):
-            yield (doc_id if known else None), codes[a:b]
+def _packed_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the input, which sizes the buckets."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def by_document(docs: DataFrame, v: Vocabulary, schema: str, make) -> DataFrame:
+    """``make(ids_of_slot)`` prepares a block and returns what turns a document's slots into columns after doc_id."""
+    buckets = max(64, min(1 << 20, _packed_bytes(docs.select("text")) >> 23))
+    kinds = [f.type for f in to_arrow_schema(_parse_datatype_string(f"doc_id long, {schema}"))]
+    names = [f.name for f in _parse_datatype_string(f"doc_id long, {schema}")]
+
+    def run(group: pa.Table) -> pa.Table:
+        parts: list = []
+        texts = []
+        for row in group.to_pylist():
+            if row["kind"] == 0:
+                texts.append(row)
+            else:
+                slots, n = _unpack(row["slots"]), _unpack(row["lengths"])
+                parts.append((slots, np.split(_unpack(row["data"]), np.cumsum(n)[:-1])))
+        ids: list = [None] * sum(len(s) for s, _ in parts)
+        for slots, found in parts:
+            for k, x in zip(slots.tolist(), found):
+                ids[k] = x
+        each, out = make(ids), []
+        for row in texts:
+            lengths, codes = _unpack(row["lengths"]), _unpack_codes(row["data"])
+            ends = np.cumsum(lengths.astype(np.int64))
+            for doc_id, known, a, b in zip(row["docs"], row["known"], (ends - lengths).tolist(), ends.tolist()):
+                out.append((doc_id if known else None, *each(codes[a:b])))
+        return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(names, kinds))})
+
+    return encode_words(blocks(docs, v.pattern, buckets), v).groupBy("block").applyInArrow(run, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -167,16 +251,11 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     and empty texts have no ids; repeated rows, null doc_ids and very long texts
     are documents like any other; other columns are ignored.
     """
-    texts, back = _encoded_blocks(docs, v, Scratch(docs.sparkSession, "bpe"))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids: list = [None] * right.num_rows
-        for slot, x in zip(right["slot"].to_pylist(), right["ids"].to_pylist()):
-            ids[slot] = x
-        found = [(doc_id, [x for c in codes.tolist() for x in ids[c]]) for doc_id, codes in _each_document(left)]
-        return pa.table({"doc_id": pa.array([r[0] for r in found], pa.int64()), "ids": pa.array([r[1] for r in found], pa.list_(pa.int32()))})
+    def make(ids: list):
+        return lambda codes: ([x for c in codes.tolist() for x in ids[c].tolist()],)
 
-    return texts.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(run, "doc_id long, ids array<int>")
+    return by_document(docs, v, "ids array<int>", make)
 
 
 def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -187,22 +266,21 @@ def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids as text, SHA-256 of what they decode to."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        at = right["slot"].to_numpy()
-        text, raw, count = [b""] * n, [b""] * n, np.zeros(n, np.int64)
-        for slot, ids, data in zip(at.tolist(), right["ids"].to_pylist(), right["bytes"].to_pylist()):
-            text[slot], raw[slot], count[slot] = b" ".join(b"%d" % x for x in ids), data, len(ids)
-        rows = []
-        for doc_id, codes in _each_document(left):
+    """Per document: number of ids, SHA-256 of the ids as text, SHA-256 of the bytes they stand for in the token table."""
+
+    def make(ids: list):
+        table = _tokens(v)
+        count = np.array([len(x) for x in ids], np.int64)
+        text = [b" ".join([b"%d" % x for x in own]) for own in (x.tolist() for x in ids)]
+        raw = [b"".join([table[x] for x in own]) for own in (x.tolist() for x in ids)]
+
+        def each(codes: np.ndarray) -> tuple:
             own = codes.tolist()
-            rows.append((doc_id, int(count[codes].sum()), hashlib.sha256(b" ".join(map(text.__getitem__, own))).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
-        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n_tokens": pa.array([r[1] for r in rows], pa.int64()), "ids_sha256": pa.array([r[2] for r in rows], pa.string()), "decoded_sha256": pa.array([r[3] for r in rows], pa.string())})
+            return int(count[codes].sum()), hashlib.sha256(b" ".join(map(text.__getitem__, own))).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()
+
+        return each
 
-    texts, back = _encoded_blocks(docs, v, Scratch(docs.sparkSession, "bpe"))
-    return texts.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_document(docs, v, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import hashlib
 
+import numpy as np
 import tiktoken
 
-from glossweave.llm.bpe import _encoder, blocks, decode, digests, encode, public
+from glossweave.llm.bpe import _encoder, _pack_codes, _unpack_codes, blocks, decode, digests, encode, public
 
 TEXTS = [None, "", " ", "a", "don't  stop\n\n\tnow  ", "élan vital über 12345 €€ 漢字 \U0001f600", "<|endoftext|> is text", "x" * 5000, "word " * 30000, "the the the", "the the the", "   mixed\r\nspace"]
 
@@ -26,8 +27,17 @@ def test_round_trip_and_reference_encoder(spark):
     assert encode(docs.limit(0), v).count() == 0 and digests(docs.limit(0), v).count() == 0
 
 
-def test_small_blocks_agree(spark):
+def test_small_blocks(spark):
     v = public()
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string").coalesce(1)
-    assert blocks(docs, v.pattern, 1000).where("kind = 0").count() >= 3
+    rows = blocks(docs, v.pattern, 5, 1000)
+    assert rows.where("kind = 0").count() >= 3
+    assert rows.where("kind = 1").select("bucket").distinct().count() <= 5
     assert _encoder(v) is _encoder(v)
+
+
+def test_packed_codes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x = (rng.pareto(0.7, n) * 3).clip(0, 2**31).astype(np.uint32)
+        assert (_unpack_codes(_pack_codes(x)) == x).all()

@@ -138,9 +138,10 @@ def sense_graph(senses: DataFrame, fallback: bool = False, own_lemma: bool = Tru
     s = senses.where("definition is not null and definition <> ''")
     sig = F.array_distinct(F.concat(T.content_tokens(F.col("definition")), F.array("lemma") if own_lemma else F.array().cast("array<string>")))
     s = s.withColumn("signature", sig)
-    hits = longest_matches(s, s, "node", "definition").withColumnRenamed("node", "target")
+    # a candidate resolves alike wherever it occurs in a gloss: once a target, weighted by its occurrences
+    hits = longest_matches(s, s, "node", "definition").groupBy(F.col("node").alias("target"), "candidate").agg(F.count("*").alias("k")).withColumn("occ", F.col("candidate"))
     t = s.select(F.col("node").alias("target"), F.col("pos").alias("tpos"), F.col("signature").alias("context"))
-    all_ = hits.join(s.select("node", F.col("lemma").alias("candidate"), "pos", "rank", "signature"), "candidate").join(t, "target")
+    all_ = hits.drop("k").join(s.select("node", F.col("lemma").alias("candidate"), "pos", "rank", "signature"), "candidate").join(t, "target")
     own = all_.where("node <> target").withColumn("same", (F.col("pos") == F.col("tpos")).cast("int"))
     w = W.partitionBy("target", "occ")
     own = own.withColumn("level", F.max("same").over(w)).where("same = level").withColumn("n", F.count("*").over(w))
@@ -154,8 +155,9 @@ def sense_graph(senses: DataFrame, fallback: bool = False, own_lemma: bool = Tru
         picked = picked.union(low.select("target", "occ", "node", "level", F.lit("fallback").alias("how")))
     level = F.when(F.col("level") == 1, "same_pos_").otherwise("any_pos_")
     done = picked.select("target", "occ", F.concat(level, F.col("how")).alias("resolution"))
-    lost = hits.select("target", "occ").join(done, ["target", "occ"], "left_anti").join(many.select("target", "occ", F.lit(True).alias("m")).distinct(), ["target", "occ"], "left")
-    counters = done.select("resolution").union(lost.select(F.when(F.col("m"), "ambiguous").otherwise("self_only").alias("resolution"))).groupBy("resolution").agg(F.count("*").alias("n"))
+    met = hits.select("target", "occ", "k").join(done, ["target", "occ"], "left").join(many.select("target", "occ", F.lit(True).alias("m")).distinct(), ["target", "occ"], "left")
+    how = F.coalesce("resolution", F.when(F.col("m"), "ambiguous").otherwise("self_only"))
+    counters = met.groupBy(how.alias("resolution")).agg(F.sum("k").alias("n"))
     return LexicalGraph(s, picked.select(F.col("node").alias("src"), F.col("target").alias("dst")).distinct(), counters)
 
 

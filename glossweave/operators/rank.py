@@ -171,8 +171,8 @@ def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _correlation(df: DataFrame, x: str, y: str, least: int) -> DataFrame:
-    a = df.agg(F.count("*").alias("n"), F.corr(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
-    return a.select("n", F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("c")).alias("r"))
+    a = df.agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    return a.select("n", F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))
 
 
 def spearman_d2(pairs: DataFrame, x: str, y: str) -> DataFrame:

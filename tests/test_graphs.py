@@ -115,7 +115,7 @@ def test_ranks(spark):
     assert {tuple(r) for r in structure.degrees(swapped).collect()} == {tuple(r) for r in structure.degrees(ring).collect()}
     assert {tuple(r) for r in swapped.collect()} != {tuple(r) for r in ring.collect()}
     pairs = spark.createDataFrame([(1.0, 4.0), (1.0, 3.0), (2.0, 3.0), (5.0, 1.0)], "x double, y double")
-    assert abs(rank.spearman(pairs, "x", "y").first().rho + 0.944911) < 1e-5
+    assert abs(rank.spearman(pairs, "x", "y").first().rho + 5 / 6) < 1e-9
     assert rank.spearman(pairs.limit(2), "x", "y").first().rho is None
     with pytest.raises(ValueError):
         rank.by_policy(e, "guess")

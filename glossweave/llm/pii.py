@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from ._shared import documents
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As a match takes whole runs of digits, none starts within one: said so, long runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+LOCAL, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 #: The generators: wider than what they are meant to find.
 WIDE = {
@@ -58,11 +59,24 @@ def _digits(s: str) -> str:
     return "".join(DIGIT.findall(s))
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, from each at sign backwards; trying every start of a long run would be quadratic."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > end and text[a - 1] in LOCAL:
+            a -= 1
+        if a < at and (m := DOMAIN.match(text, at)):
+            end = m.end()
+            yield a, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind; those that fail their test are dropped. By start, then kind."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += [("email", a, b) for a, b in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):

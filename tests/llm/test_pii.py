@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +34,21 @@ def test_base_spans(text):
     assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
+def test_random_texts_like_the_patterns():
+    rng = random.Random(3)
+    for alphabet in ("ab.@-%1 _", "125.. +-()", "4111 -@."):
+        for _ in range(3000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            assert base_spans(text) == brute(text), text
+
+
+@pytest.mark.parametrize("text", ["a" * 500_000 + " x@y.zz", "1" * 500_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "(" * 500_000 + "@"])
+def test_long_runs_take_linear_time(text):
+    judge, began = train(), time.process_time()
+    find(text, judge)
+    assert time.process_time() - began < 10
+
+
 def test_held_out_accuracy():
     judge, made = train(), examples(1200, seed=7)
     x, y = np.array([features(t, s) for t, s, _ in made]), np.array([v for *_, v in made])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,6 +25,7 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SENT or reachable():
         return
-    with tempfile.TemporaryDirectory() as folder:  # Spark takes its own copy
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{Path(__file__).parent.name}", "zip", ROOT, Path(__file__).parent.name))
+    folder = tempfile.mkdtemp(prefix="glossweave-")  # on the driver, which serves it as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{Path(__file__).parent.name}", "zip", ROOT, Path(__file__).parent.name))
     _SENT.add(app)

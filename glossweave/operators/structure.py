@@ -12,7 +12,7 @@ from glossweave.operators.build import induced, transpose
 from glossweave.operators.loops import cut, is_empty
 
 #: Up to so many edges, components are found in one task; beyond, by rounds over the cluster.
-ONE_TASK_EDGES = 200_000
+ONE_TASK_EDGES = 1_000_000
 
 
 def all_nodes(edges: DataFrame) -> DataFrame:

@@ -6,20 +6,26 @@ of several lines that occurs more than once in the corpus, compared byte by byte
 is kept where it comes first (smallest doc_id, then position) and removed
 everywhere else. Single lines and blank ones are never removed.
 
-What is shuffled first is one row of hashes a multi-line chunk. Bytes follow only
-for chunks whose hash repeats, out of the documents that hold them.
+Chunks at the edges of a repeated passage hold neighbours' lines and do not
+repeat. So with ``pairs`` the pieces are also every two successive lines that are
+not blank, with the blank ones between them: a run of two lines and more that came
+earlier consists of such pairs and goes whole, up to its edges.
+
+What is shuffled first is one row of hashes a piece. Bytes follow only for pieces
+whose hash repeats, out of the documents that hold them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, documents
+from ._shared import Scratch, documents, slices
 
 #: Lines that the rolling hash sees, the mean number of lines between boundaries, and the longest chunk.
 WINDOW, DIVISOR, LONGEST = 2, 4, 64
@@ -52,60 +58,81 @@ def chunks(data: bytes) -> list[tuple[int, int, int]]:
     return [(starts[a], starts[b - 1] + len(lines[b - 1]), b - a) for a, b in chunk_bounds([digest(x) for x in lines])]
 
 
-def _listed(docs: DataFrame) -> DataFrame:
-    """``k, doc_id, at, h1, h2`` of each multi-line chunk of ``docs(k, doc_id, text)``: the 128 bits of its hash."""
+class Pieces:
+    """What of a text may repeat: spans (first, end) of lines; the chunks, and with ``pairs`` the pairs."""
+
+    def __init__(self, data: bytes, pairs: bool):
+        self.data, lines = data, data.split(b"\n")
+        digest = xxhash.xxh3_64_intdigest
+        ends = list(accumulate(len(x) + 1 for x in lines))
+        self.starts, self.ends = [0, *ends[:-1]], [x - 1 for x in ends]
+        self.spans = chunk_bounds([digest(x) for x in lines])
+        if pairs:
+            filled = [j for j, x in enumerate(lines) if x and not x.isspace()]
+            self.spans = list({*self.spans, *((a, b + 1) for a, b in zip(filled, filled[1:]))})
+
+    def bytes_of(self, a: int, b: int) -> bytes:
+        return self.data[self.starts[a] : self.ends[b - 1]]
+
+
+def _listed(docs: DataFrame, pairs: bool) -> DataFrame:
+    """``k, doc_id, a, b, h1, h2`` of each piece of several lines of ``docs(k, doc_id, text)``: the 128 bits of its hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             rows, src = [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                for at, (a, b, n) in enumerate(chunks(text or b"")):
-                    if n > 1 and not text[a:b].isspace():
-                        h = digest(text[a:b])
-                        rows.append((at, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
+                own = Pieces(text or b"", pairs)
+                for a, b in own.spans:
+                    if b - a > 1 and not (piece := own.bytes_of(a, b)).isspace():
+                        h = digest(piece)
+                        rows.append((a, b, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
                         src.append(i)
             src = pa.array(src, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), *[pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]], ["k", "doc_id", "at", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), *[pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]], ["k", "doc_id", "a", "b", "h1", "h2"])
 
-    return docs.select("k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, at int, h1 long, h2 long")
+    return docs.select("k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, a int, b int, h1 long, h2 long")
 
 
 def _bytes_of(dealt: DataFrame) -> DataFrame:
-    """The bytes of the chunks named in ``ats``."""
+    """The bytes of the pieces named in ``ats``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, doc_id, text, ats in zip(*[batch.column(j).to_pylist() for j in range(2)], batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                own = chunks(text or b"")
-                rows += [(k, doc_id, at, (text or b"")[own[at][0] : own[at][1]]) for at in sorted(set(ats))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["k", "doc_id", "at", "chunk"])
+                own = Pieces(text or b"", False)
+                rows += [(k, doc_id, a, b, own.bytes_of(a, b)) for a, b in sorted({(x["a"], x["b"]) for x in ats})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["k", "doc_id", "a", "b", "chunk"])
 
-    return dealt.select("k", "doc_id", "text", "ats").mapInArrow(run, "k long, doc_id long, at int, chunk binary")
+    return dealt.select("k", "doc_id", "text", "ats").mapInArrow(run, "k long, doc_id long, a int, b int, chunk binary")
 
 
-def _removals(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """``k, ats``: of each document, the chunks to remove."""
-    each = scratch.table(_listed(keyed), "chunks")
+def _removals(keyed: DataFrame, scratch: Scratch, pairs: bool) -> DataFrame:
+    """``k, ats``: of each document, the spans of lines to remove."""
+    each = scratch.table(_listed(keyed, pairs), "chunks")
     repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    wanted = each.join(repeated, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_list("at").alias("ats"))
+    wanted = each.join(repeated, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("ats"))
     texts = _bytes_of(keyed.select("k", "doc_id", "text").join(wanted, "k"))
-    same = texts.groupBy("chunk").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "at")).alias("first"))
-    later = texts.join(same, "chunk").where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))
-    return later.groupBy("k").agg(F.collect_set("at").alias("ats"))
+    same = texts.groupBy("chunk").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "a", "b")).alias("first"))
+    later = texts.join(same, "chunk").where((F.col("k") != F.col("first.k")) | (F.col("a") != F.col("first.a")))
+    fresh = F.when(F.col("k") == F.col("first.k"), F.greatest("a", "first.b")).otherwise(F.col("a"))  # what it shares with its first occurrence stays
+    return later.groupBy("k").agg(F.collect_set(F.struct(fresh.alias("a"), "b")).alias("ats"))
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """``docs`` with all its columns, its text without repeated chunks, and ``__lines, __removed``.
 
-    Rows that agree in doc_id and text are one document and share the result.
-    Null texts stay null; empty texts and those of one line stay as they are; a
-    text whose chunks all came earlier becomes empty. A null doc_id sorts last.
+    With ``pairs``, without repeated runs of two lines and more up to their edges;
+    what repeats right after itself keeps its first two lines. Rows that agree in
+    doc_id and text are one document and share the result. Null texts stay null;
+    empty texts and those of one line stay as they are; a text whose pieces all
+    came earlier becomes empty. A null doc_id sorts last.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = docs.withColumn("k", F.xxhash64("doc_id", "text", F.length("text")))
-    gone = scratch.table(_removals(keyed.select("k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch), "gone")
+    gone = scratch.table(_removals(keyed.select("k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch, pairs), "gone")
 
     @F.pandas_udf("text string, lines int, removed int")
     def cut(texts, ats):
@@ -121,16 +148,17 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
             if out is None or not len(out):
                 rows.append((text, lines, 0))
                 continue
-            own, drop = chunks(data), set(int(x) for x in out)
-            kept = [data[a:b] for j, (a, b, _) in enumerate(own) if j not in drop]
-            rows.append((b"\n".join(kept).decode(), lines, sum(own[j][2] for j in drop)))
+            own = Pieces(data, False)
+            drop = {j for x in out for j in range(x["a"], x["b"])}
+            kept = [data[a:b] for j, (a, b) in enumerate(zip(own.starts, own.ends)) if j not in drop]
+            rows.append((b"\n".join(kept).decode(), lines, len(drop)))
         return pd.DataFrame(rows, columns=["text", "lines", "removed"])
 
-    joined = keyed.join(gone.withColumnRenamed("ats", "__ats"), "k", "left").withColumn("__cut", cut("text", "__ats"))
+    joined = keyed.join(gone.withColumnRenamed("ats", "__ats").hint("merge"), "k", "left").withColumn("__cut", cut("text", "__ats"))
     columns = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.col("__cut.lines").alias("__lines"), F.col("__cut.removed").alias("__removed"))
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated(documents(spark, sf_dir))
+    out = remove_repeated(documents(spark, sf_dir), pairs=True)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -19,9 +19,11 @@ _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only in local mode, where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="glossweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -81,6 +83,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def doc_key() -> F.Column:
-    """One key a document: rows that agree in doc_id and text are the same document."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"), F.length("text"))
+def doc_key() -> list[F.Column]:
+    """``k1, k2``, 128 bits a document: rows that agree in doc_id and text are the same document."""
+    return [F.xxhash64("doc_id", "text", F.length("text")).alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
+
+
+def free(taken: Iterable[str], name: str) -> str:
+    """``name``, or the first of it with underscores after it that no column in ``taken`` has (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -1,20 +1,24 @@
 """Suffix-array dedup by bucket-pointer refinement: removal of long strings that start more than once.
 
 Schuermann and Stoye, "An incomplex algorithm for fast suffix array construction"
-(2007): suffixes are put into buckets by their first q bytes, and a bucket is
-refined by sorting on the bucket identifiers found some bytes later; each
-refinement uses the buckets that earlier ones have made, so the length that is
-told apart doubles. It stops here at ``length`` bytes: positions that still share
-a bucket then are the repeated strings.
-
-Which positions can share a bucket is settled first, so that not every position
-of the corpus is sorted. Each window of ``length`` bytes is assigned to its
-smallest q-gram by hash (q = length / 2), which is a matter of its content alone;
-the windows of one q-gram occurrence are consecutive and make a context. Equal
-windows are in contexts of equal q-grams, the initial buckets. A context that
-occurs as a whole elsewhere is repeated throughout; only the others, and one copy
-of each such, are refined, bucket by bucket. Buckets with very many different
-contexts are dealt by a 128-bit hash of each window instead.
+(2007): suffixes are put into buckets by their first q bytes, a position's pointer
+names its bucket, and a bucket is refined by sorting on the pointers found as many
+bytes later as its members agree on; new pointers are used at once by the buckets
+refined after it, so what is told apart grows faster than by doubling.
+
+Which positions can share a bucket is settled first, so that not every position of
+the corpus is sorted together. Each window of ``length`` bytes is assigned to its
+smallest q-gram by hash (q = length / 4), a matter of its content alone; successive
+windows of one q-gram make a context. Equal windows are in contexts of equal
+q-grams: the initial buckets. Those with one context only hold nothing repeated.
+The bytes of the others travel once a task and distinct context, equal contexts are
+merged by their bytes, and what is left in a bucket is refined on its suffixes.
+Hashes only deal out work: a byte goes only if bytes were compared.
+
+A bucket with over ``hot`` different occurrences (a common passage, whose contexts
+reach into its neighbours) first loses the windows whose own 128-bit hash occurs
+once, dealt by that hash and not by bucket; a window with a hash of its own is
+unique, so this drops nothing that repeats.
 """
 
 from __future__ import annotations
@@ -28,26 +32,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, documents
+from ._shared import Scratch, doc_key, documents, slices
 
 LENGTH = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-_BITS = 24
+#: Positions of a text that are hashed at once, as a power of two: memory does not follow the text's length.
+_BITS = 18
+_POWERS: list[np.ndarray] = []
+KEY = ("k1", "k2")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(max(n, 1 << 16), base, np.uint64)
+    if not _POWERS:
+        for base in (_BASE, _INVERSE):
+            x = np.full(1 << _BITS, base, np.uint64)
             x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit rolling hash of each q-gram; equal grams have equal hashes."""
+    """A 64-bit rolling hash of each q-gram of at most 2 ** 18 bytes; equal grams have equal hashes."""
     up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
@@ -58,17 +64,22 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, gram position, first window, last window): each window of ``length`` bytes with its leftmost smallest q-gram."""
-    q = length // 2
+def anchors(data: np.ndarray, length: int = LENGTH, q: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, gram position, first window, last window): each window of ``length`` bytes with its leftmost smallest q-gram.
+
+    Successive windows whose grams have one hash are put together, as many as a
+    single gram can have, so a run of one character has few contexts. The
+    position is that of the first window's gram.
+    """
+    q = q or length // 2
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return np.zeros(0, np.uint64), none, none, none
     found, step = [], (1 << _BITS) - 2 * length
-    for start in range(0, len(data) - length + 1, step):  # one turn but for texts of 16 MB and more
+    grams = length - q + 1
+    for start in range(0, len(data) - length + 1, step):
         part = data[start : start + step + length - 1]
         h = gram_hashes(part, q)
-        grams = length - q + 1
         low = (h & np.uint64((1 << 64) - (1 << _BITS))) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while width * 2 <= grams:
@@ -77,178 +88,278 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         if width < grams:
             low = np.minimum(low[: len(low) - (grams - width)], low[grams - width :])
         at = (low & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g = h[at]
+        new = np.r_[True, g[1:] != g[:-1]]
+        since = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+        cut = np.flatnonzero(since % grams == 0)
         first, last = cut, np.r_[cut[1:] - 1, len(at) - 1]
-        found.append((h[at[cut]], at[cut] + start, first + start, last + start))
+        found.append((g[cut], at[cut] + start, first + start, last + start))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Buckets of the positions ``starts``: equal exactly where the ``length`` bytes from there on are equal.
+_ENDED = np.int64(1 << 40)
+
+
+def pointers(data: np.ndarray, sizes: np.ndarray, length: int, parts: int = 16) -> np.ndarray:
+    """Of each position of texts of ``sizes`` bytes, laid end to end in ``data``, the place of its bucket among the sorted suffixes.
 
-    ``data`` holds at least ``length`` bytes after each start. Initial buckets are
-    8-grams; the bucket of a position and that of the position h bytes later give
-    the one for 2h bytes, until ``length`` is told apart.
+    Suffixes end with their text. Buckets are ordered as their suffixes; positions
+    stay in one bucket only if they agree on ``length`` bytes or up to both ends.
+    """
+    n = len(data)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    word, padded = np.zeros(n, np.uint64), np.r_[data, np.zeros(8, np.uint8)]
+    for j in range(8):
+        word = (word << np.uint64(8)) | np.where(left > j, padded[j : j + n], 0).astype(np.uint64)
+    short = np.minimum(left, 8)
+    order = np.lexsort((short, word))
+    w, s = word[order], short[order]
+    new = np.r_[True, (w[1:] != w[:-1]) | (s[1:] != s[:-1])]
+    bucket = np.empty(n, np.int64)
+    bucket[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    agree = np.where(left <= 8, _ENDED, 8)
+    del word, padded, short, order, w, s, new
+    while True:
+        open_ = np.flatnonzero((np.bincount(bucket, minlength=n)[bucket] > 1) & (agree < length))
+        if not len(open_):
+            return bucket
+        # buckets near the ends of texts first: the others find their pointers refined
+        near = np.full(n, n, np.int64)
+        np.minimum.at(near, bucket[open_], left[open_])
+        open_ = open_[np.lexsort((bucket[open_], near[bucket[open_]]))]
+        heads = np.flatnonzero(np.r_[True, bucket[open_][1:] != bucket[open_][:-1]])
+        cuts = np.unique(heads[np.searchsorted(heads, np.linspace(0, len(open_), parts, endpoint=False), side="right") - 1])
+        for part in np.split(open_, cuts[1:]):
+            b, d = bucket[part], agree[part]
+            ended = d >= left[part]
+            after = np.where(ended, 0, part + np.where(ended, 0, d))
+            p = np.where(ended, -1, bucket[after])
+            gain = np.where(ended, _ENDED, agree[after])
+            o = np.lexsort((p, b))
+            b, p, part = b[o], p[o], part[o]
+            at = np.arange(len(part))
+            head = np.maximum.accumulate(np.where(np.r_[True, b[1:] != b[:-1]], at, 0))
+            run = np.maximum.accumulate(np.where(np.r_[True, (b[1:] != b[:-1]) | (p[1:] != p[:-1])], at, 0))
+            bucket[part] = b + run - head
+            agree[part] = np.minimum(d[o] + gain[o], _ENDED)
+
+
+def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Classes of the positions ``starts``: equal exactly where the ``length`` bytes from there on are equal.
+
+    ``data`` is one text, or texts of ``sizes`` bytes end to end; at least
+    ``length`` bytes of a start's own text follow it. Neighbours among the sorted
+    suffixes are compared byte by byte.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
+    bucket = pointers(data, np.array([len(data)]) if sizes is None else sizes, length)
+    order = np.argsort(bucket[starts], kind="stable")
+    p = starts[order]
+    differ = np.ones(len(p), bool)
+    span = np.arange(length)
+    for k in range(1, len(p), 4096):
+        a, b = p[k - 1 : k + 4095], p[k : k + 4096]
+        a = a[: len(b)]
+        differ[k : k + 4096] = (data[a[:, None] + span] != data[b[:, None] + span]).any(1)
+    out = np.empty(len(p), np.int64)
+    out[order] = np.cumsum(differ) - 1
+    return out
 
-    def ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        s = key[order]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-        return out
 
-    h = min(8, length)
-    key = np.zeros(len(data) - h + 1, np.uint64)
-    for j in range(h):
-        key = (key << np.uint64(8)) | data[j : len(data) - h + 1 + j].astype(np.uint64)
-    bucket = ranks(key)
-    while h < length:
-        more = min(h, length - h)
-        n = len(bucket) - more
-        if more < h or h * 2 >= length:  # the last round: only the positions asked for
-            return ranks(bucket[starts] * np.int64(len(data) + 1) + bucket[starts + more])
-        bucket = ranks(bucket[:n] * np.int64(len(data) + 1) + bucket[more:])
-        h += more
-    return ranks(bucket[starts])
+def _pos(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A context's first window, and the number of windows after it in 16 bits."""
+    return (first << 16) | (last - first)
+
 
+def _place(pos: int) -> tuple[int, int]:
+    return pos >> 16, (pos >> 16) + (pos & 0xFFFF)
 
-def _listed(docs: DataFrame, length: int) -> DataFrame:
-    """``k, pos, g, c``: of each context, where (gram position, and how far before it the first and last window start), its q-gram and its hash."""
+
+_LISTED = "k1 long, k2 long, pos long, g long, c long"
+
+
+def _listed(docs: DataFrame, length: int, q: int) -> DataFrame:
+    """``k1, k2, pos, g, c``: of each context its windows, its q-gram and the hash of its bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches, 256):
             out: list[list[np.ndarray]] = []
             src, rows = [], 0
-            names, kinds = ["k", "pos", "g", "c"], [pa.int64()] * 4
 
             def made() -> pa.RecordBatch:
-                k = batch.column(0).take(pa.array(np.repeat([s for s, _ in src], [n for _, n in src]), pa.int64()))
-                return pa.RecordBatch.from_arrays([k, *[pa.array(np.concatenate([x[j] for x in out]), t) for j, t in enumerate(kinds[1:])]], names)
+                at = pa.array(np.repeat([s for s, _ in src], [n for _, n in src]), pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(np.concatenate([x[j] for x in out]), pa.int64()) for j in range(3)]], [*KEY, "pos", "g", "c"])
 
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                if text is None or len(text) < length:
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                if not text.is_valid or len(raw := text.as_buffer()) < length:
                     continue
-                g, at, first, last = anchors(np.frombuffer(text, np.uint8), length)
-                c = np.array([digest(text[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
-                out.append([(at << 20) | ((at - first) << 10) | (at - last), g.view(np.int64), c.view(np.int64)])
-                src.append((i, len(g)))
-                rows += len(g)
-                if rows > 200_000:
-                    yield made()
-                    out, src, rows = [], [], 0
+                view = memoryview(raw)
+                g, _, first, last = anchors(np.frombuffer(raw, np.uint8), length, q)
+                c = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64, len(g))
+                for a in range(0, len(g), 100_000):
+                    b = min(len(g), a + 100_000)
+                    out.append([_pos(first[a:b], last[a:b]), g[a:b].view(np.int64), c[a:b].view(np.int64)])
+                    src.append((i, b - a))
+                    rows += b - a
+                    if rows > 100_000:
+                        yield made()
+                        out, src, rows = [], [], 0
             if rows:
                 yield made()
 
-    return docs.select("k", "text").mapInArrow(run, "k long, pos long, g long, c long")
+    return docs.select(*KEY, "text").mapInArrow(run, _LISTED)
 
 
-def _place(pos: int) -> tuple[int, int, int]:
-    at = pos >> 20
-    return at, at - (pos >> 10 & 1023), at - (pos & 1023)
+def _windows(dealt: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, g, p, h1, h2``: each window of the contexts named in ``need`` with the 128 bits of its hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            rows: list[tuple] = []
+            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+                if not need:
+                    continue
+                view = memoryview(text.as_buffer())
+                for x in need:
+                    first, last = _place(x["pos"])
+                    for p in range(first, last + 1):
+                        h = xxhash.xxh3_128_intdigest(view[p : p + length])
+                        rows.append((k1, k2, x["g"], p, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
+                    if len(rows) > 50_000:
+                        yield _table(rows, [*KEY, "g", "p", "h1", "h2"])
+                        rows = []
+            yield _table(rows, [*KEY, "g", "p", "h1", "h2"])
+
+    return dealt.mapInArrow(run, "k1 long, k2 long, g long, p long, h1 long, h2 long")
 
 
-CONTEXT = "key long, kind int, other long, k long, first long, own boolean, context binary"
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
 
 
-def _contexts(dealt: DataFrame, length: int) -> DataFrame:
-    """Bytes of the contexts named in ``need``: whole (kind 0), or of hot buckets a hash of each window (kind 1)."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    names = ["key", "kind", "other", "k", "first", "own", "context"]
+def _hashed(dealt: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, pos, g, c`` of the contexts named in ``need``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             rows: list[tuple] = []
-            wanted = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
-            some = batch.take(pa.array(wanted))
-            for k, text, need in zip(some.column(0).to_pylist(), some.column(2).cast(pa.binary()).to_pylist(), some.column(3).to_pylist()):
+            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+                for x in need or ():
+                    first, last = _place(x["pos"])
+                    rows.append((k1, k2, x["pos"], x["g"], xxhash.xxh3_64_intdigest(memoryview(text.as_buffer())[first : last + length]) - (1 << 63)))
+            yield _table(rows, [*KEY, "pos", "g", "c"])
+
+    return dealt.mapInArrow(run, _LISTED)
+
+
+def _contexts(dealt: DataFrame, length: int, held_bytes: int = 8 << 20) -> DataFrame:
+    """``g, c, n, context``: the bytes of the contexts named in ``need``; equal ones of a task are counted together."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, bytes], int] = {}
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            columns = [[k[0] for k in held], [k[1] for k in held], list(held.values()), [k[2] for k in held]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["g", "c", "n", "context"])
+
+        for batch in slices(batches, 64):
+            for text, need in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+                if not need:
+                    continue
+                view = memoryview(text.as_buffer())
                 for x in need:
-                    _, first, last = _place(x["pos"])
-                    if not x["hot"]:
-                        rows.append((x["g"], 0, 0, k, first, x["own"], text[first : last + length]))
+                    first, last = _place(x["pos"])
+                    key = (x["g"], x["c"], bytes(view[first : last + length]))
+                    if key in held:
+                        held[key] += 1
                     else:
-                        for p in range(first, last + 1):
-                            h = xxhash.xxh3_128_intdigest(text[p : p + length])
-                            rows.append(((h >> 64) - (1 << 63), 1, (h & ((1 << 64) - 1)) - (1 << 63), k, p, x["own"], None))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names)
-                    rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names)
-
-    return dealt.select("k", "doc_id", "text", "need").mapInArrow(run, CONTEXT)
-
-
-def _refined(contexts: DataFrame, length: int, at_once: int = 3_000_000) -> DataFrame:
-    """``k, first, last``: windows of the contexts asked about that start more than once."""
-
-    def settle(held: list[dict]) -> list[tuple[int, int, int]]:
-        whole = [r for r in held if r["kind"] == 0]
-        out: list[tuple[int, int, int]] = []
-        if whole:
-            data = np.frombuffer(b"".join(r["context"] for r in whole), np.uint8)
-            sizes = np.array([len(r["context"]) for r in whole])
-            base = np.cumsum(sizes) - sizes
-            n = sizes - length + 1
-            which = np.repeat(np.arange(len(whole)), n)
+                        held[key] = 1
+                        size += len(key[2])
+                    if size > held_bytes:
+                        yield made()
+                        held, size = {}, 0
+        yield made()
+
+    return dealt.mapInArrow(run, "g long, c long, n long, context binary")
+
+
+def _refined(contexts: DataFrame, length: int, at_once: int = 1 << 20) -> DataFrame:
+    """``g, c, first, last``: runs of windows, from a context's first, that start more than once."""
+
+    def settle(held: list[list]) -> list[tuple[int, int, int, int]]:
+        out = []
+        sizes = np.array([len(r[3]) for r in held])
+        n = sizes - length + 1
+        bucket = np.array([r[0] for r in held])
+        _, inverse, members = np.unique(bucket, return_inverse=True, return_counts=True)
+        alone = members[inverse] == 1
+        out += [(r[0], r[1], 0, int(w) - 1) for r, w, x in zip(held, n, alone) if x and r[2] > 1]
+        some = np.flatnonzero(~alone)
+        if len(some):
+            sizes, n = sizes[some], n[some]
+            data = np.frombuffer(b"".join(held[k][3] for k in some), np.uint8)
+            which = np.repeat(np.arange(len(some)), n)
             offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            # the same bytes under two keys cannot be: equal windows have equal q-grams
-            bucket = refine(data, base[which] + offset, length)
-            again = np.bincount(bucket)[bucket] > 1
-            again &= np.array([r["own"] for r in whole])[which]
-            hit = np.flatnonzero(again)
+            cls = refine(data, (np.cumsum(sizes) - sizes)[which] + offset, length, sizes)
+            weight = np.bincount(cls, np.array([held[k][2] for k in some], np.float64)[which])
+            hit = np.flatnonzero(weight[cls] > 1)
             for part in np.split(hit, np.flatnonzero((np.diff(hit) != 1) | (which[hit][1:] != which[hit][:-1])) + 1):
                 if len(part):
-                    r, a = whole[which[part[0]]], int(offset[part[0]])
-                    out.append((r["k"], r["first"] + a, r["first"] + a + len(part) - 1))
+                    r = held[some[which[part[0]]]]
+                    out.append((r[0], r[1], int(offset[part[0]]), int(offset[part[-1]])))
         return out
 
-    def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["k", "first", "last"])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, key, last = [], 0, None, None
-        for batch in batches:  # sorted by kind, key and other
-            out: list[tuple[int, int, int]] = []
-            for r in batch.to_pylist():
-                if r["kind"] == 1:  # a run of equal hashes, of any length: only its first row waits
-                    if last is not None and (last["key"], last["other"]) == (r["key"], r["other"]):
-                        if last["own"]:
-                            out.append((last["k"], last["first"], last["first"]))
-                        if r["own"]:
-                            out.append((r["k"], r["first"], r["first"]))
-                        r["own"] = False
-                    last = r
+        held, size = [], 0
+        for batch in slices(batches, 2048):  # sorted by bucket, hash and bytes
+            for g, c, n, context in zip(*[batch.column(j).to_pylist() for j in range(4)]):
+                if held and held[-1][0] == g and held[-1][1] == c:
+                    if held[-1][3] != context:
+                        raise RuntimeError("two contexts share 128 bits of hash; no result is given rather than a wrong one")
+                    held[-1][2] += n
                     continue
-                if r["key"] != key and size > at_once:
-                    out += settle(held)
+                if held and held[-1][0] != g and size > at_once:
+                    yield _table(settle(held), ["g", "c", "first", "last"])
                     held, size = [], 0
-                key = r["key"]
-                held.append(r)
-                size += len(r["context"])
-            if out:
-                yield made(out)
-        yield made(settle(held))
+                held.append([g, c, n, context])
+                size += len(context)
+        if held:
+            yield _table(settle(held), ["g", "c", "first", "last"])
 
-    return contexts.repartition("key").sortWithinPartitions("kind", "key", "other").mapInArrow(run, "k long, first long, last long")
+    return contexts.repartition("g").sortWithinPartitions("g", "c", "context").mapInArrow(run, "g long, c long, first long, last long")
 
 
 def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = 4_000) -> DataFrame:
-    """``docs(k, doc_id, text)`` with ``spans``: byte ranges (first, last, end exclusive), unmerged, that are covered by repeated strings; null if none."""
-    each = _listed(docs, length).repartition("g")
-    g, gc = W.partitionBy("g"), W.partitionBy("g", "c")
-    each = each.withColumn("same", F.count("*").over(gc)).withColumn("nth", F.row_number().over(gc.orderBy("k", "pos")))
-    each = each.withColumn("n", F.count("*").over(g)).withColumn("single", F.sum((F.col("same") == 1).cast("long")).over(g)).withColumn("kinds", F.sum((F.col("nth") == 1).cast("long")).over(g))
-    each = scratch.table(each.where("n > 1 and (same > 1 or kinds > 1)").select("k", "pos", "g", (F.col("same") > 1).alias("whole"), ((F.col("single") > 0) & (F.col("nth") == 1)).alias("ask"), (F.col("kinds") > hot).alias("hot")), "places")
-    need = each.where("ask").groupBy("k").agg(F.collect_list(F.struct("pos", "g", "hot", (~F.col("whole")).alias("own"))).alias("need"))
+    """``docs(k1, k2, doc_id, text)`` with ``spans``: byte ranges (first, last, end exclusive), unmerged, that are covered by repeated strings; null if none."""
+    if length > 1 << 16:
+        raise ValueError("strings of more than 65,536 bytes are not supported")
+    texts = docs.select(*KEY, "text")
+    dealt = lambda places: texts.join(places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "g", "c")).alias("need")), list(KEY), "left").select(*KEY, "text", "need")
+    each = scratch.table(_listed(docs, length, max(1, length // 4)), "contexts")
+    buckets = each.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("several")).where("n > 1")
+    places = scratch.table(each.join(buckets.select("g", (F.col("several") & (F.col("n") > hot)).alias("hot")), "g").select(*KEY, "pos", "g", "c", "hot"), "places")
+    scratch.drop(each)
+    if places.where("hot").head(1):
+        windows = scratch.table(_windows(dealt(places.where("hot")), length), "windows")
+        again = windows.groupBy("g", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("g", "h1", "h2")
+        left = windows.join(again, ["g", "h1", "h2"], "left_semi")
+        left = left.withColumn("run", F.col("p") - F.row_number().over(W.partitionBy(*KEY, "g").orderBy("p")))
+        left = left.groupBy(*KEY, "g", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+        # as many windows together as a context may have
+        left = left.withColumn("first", F.explode(F.sequence("first", "last", F.lit(length)))).withColumn("last", F.least("last", F.col("first") + length - 1))
+        left = left.select(*KEY, (F.shiftleft("first", 16) + F.col("last") - F.col("first")).alias("pos"), "g", F.lit(0).cast("long").alias("c"))
+        runs = scratch.table(_hashed(dealt(left), length), "runs")
+        scratch.drop(windows)
+        places = places.where("not hot").drop("hot").unionByName(runs)
     # both joins read the documents by the same exchange
-    parts = _refined(_contexts(docs.select("k", "doc_id", "text").join(need, "k", "left"), length), length)
-    at = F.shiftright("pos", 20)
-    whole = each.where("whole").select("k", (at - F.shiftright("pos", 10).bitwiseAND(F.lit(1023))).alias("first"), (at - F.col("pos").bitwiseAND(F.lit(1023))).alias("last"))
-    spans = whole.union(parts).groupBy("k").agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("last"))).alias("spans"))
-    return docs.select("k", "doc_id", "text").join(spans, "k", "left")
+    found = _refined(_contexts(dealt(places), length), length)
+    spans = places.join(found, ["g", "c"]).select(*KEY, (F.shiftright("pos", 16) + F.col("first")).alias("first"), (F.shiftright("pos", 16) + F.col("last") + length).alias("last"))
+    spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return docs.join(spans, list(KEY), "left")
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -269,29 +380,30 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, hot: int = 4_000) ->
     in the same text (overlapping too), in another one or in a repeated row; so no
     copy stays. Matches never cross documents. Null texts count as empty, shorter
     ones than ``length`` stay whole. Rows with null ids are like any other; other
-    columns are ignored.
+    columns are ignored. ``hot`` changes the plan, never the result.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    keyed = docs.select(F.xxhash64("doc_id", "text", F.length("text")).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = repeated(keyed, scratch, length, hot)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = repeated(plain.select(*doc_key(), "doc_id", "text"), scratch, length, hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches, 256):
             kept, spans = [], []
-            for text, found in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 runs, at, parts = merged(found), 0, []
                 for a, b in runs:
                     parts.append(text[at:a])
                     at = b
                 kept.append(b"".join([*parts, text[at:]]))
                 spans.append([{"first": a, "last": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "kept", "spans"])
 
-    return found.select("k", "doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, spans array<struct<first: long, last: long>>")
+    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, spans array<struct<first: long, last: long>>")
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests of ``remove_repeated`` over all documents: nulls are empty texts, a row of output for each row of input."""
     out = remove_repeated(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
     return out.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,14 +2,14 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014).
 Each round is two groupings and two joins on the node; edges never reach the
-driver, and no node's neighbours are gathered in one place.
+driver. A node's neighbours are never held together: groupings only take a minimum,
+summed up before the shuffle, and joins are between two plain exchanges of tables
+at rest, so that the rows of a hub, which land in one partition, are split at run
+time (adaptive skew join) once they exceed its threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +42,6 @@ class Forest:
         return True
 
 
-def spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's edges (a, b), those that a spanning forest needs."""
-    forest = Forest()
-    for batch in batches:
-        kept = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if forest.join(a, b)]
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in kept], pa.int64()), "b": pa.array([x[1] for x in kept], pa.int64())})
-
-
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)`` (BIGINT); root is the smallest node reachable.
 
@@ -61,13 +53,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     sign = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = e.agg(*sign).first()
     for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        # large star: a node's larger neighbours go to its smallest one, or to itself
+        low = scratch.table(e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")
+        large = scratch.table(e.join(low.hint("merge"), e.v == low.x, "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
+        # small star: a node and its smaller neighbours go to the smallest of these
+        least = scratch.table(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "least")
+        small = large.join(least.hint("merge"), large.u == least.x).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         new = scratch.table(small.where("u <> v").distinct(), "edges")
-        scratch.drop(e)
+        for old in (e, low, large, least):
+            scratch.drop(old)
         e, now = new, new.agg(*sign).first()
         if now == before:
             break

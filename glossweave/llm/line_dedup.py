@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, documents, slices
+from ._shared import Scratch, doc_key, documents, free, slices
 
 #: Lines that the rolling hash sees, the mean number of lines between boundaries, and the longest chunk.
 WINDOW, DIVISOR, LONGEST = 2, 4, 64
@@ -76,13 +76,13 @@ class Pieces:
 
 
 def _listed(docs: DataFrame, pairs: bool) -> DataFrame:
-    """``k, doc_id, a, b, h1, h2`` of each piece of several lines of ``docs(k, doc_id, text)``: the 128 bits of its hash."""
+    """``k1, k2, doc_id, a, b, h1, h2`` of each piece of several lines of ``docs(k1, k2, doc_id, text)``: the 128 bits of its hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
         for batch in slices(batches):
             rows, src = [], []
-            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
                 own = Pieces(text or b"", pairs)
                 for a, b in own.spans:
                     if b - a > 1 and not (piece := own.bytes_of(a, b)).isspace():
@@ -90,35 +90,48 @@ def _listed(docs: DataFrame, pairs: bool) -> DataFrame:
                         rows.append((a, b, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
                         src.append(i)
             src = pa.array(src, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), *[pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]], ["k", "doc_id", "a", "b", "h1", "h2"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(src) for j in range(3)], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], ["k1", "k2", "doc_id", "a", "b", "h1", "h2"])
 
-    return docs.select("k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, a int, b int, h1 long, h2 long")
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, a int, b int, h1 long, h2 long")
 
 
 def _bytes_of(dealt: DataFrame) -> DataFrame:
-    """The bytes of the pieces named in ``ats``."""
+    """``h1, h2, piece``: the bytes of the pieces named in ``ats`` beside the hash they are listed under."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for k, doc_id, text, ats in zip(*[batch.column(j).to_pylist() for j in range(2)], batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            for text, ats in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 own = Pieces(text or b"", False)
-                rows += [(k, doc_id, a, b, own.bytes_of(a, b)) for a, b in sorted({(x["a"], x["b"]) for x in ats})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["k", "doc_id", "a", "b", "chunk"])
+                rows += {(x["h1"], x["h2"], own.bytes_of(x["a"], x["b"])) for x in ats}
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h1", "h2", "piece"])
 
-    return dealt.select("k", "doc_id", "text", "ats").mapInArrow(run, "k long, doc_id long, a int, b int, chunk binary")
+    return dealt.select("text", "ats").mapInArrow(run, "h1 long, h2 long, piece binary")
 
 
 def _removals(keyed: DataFrame, scratch: Scratch, pairs: bool) -> DataFrame:
-    """``k, ats``: of each document, the spans of lines to remove."""
-    each = scratch.table(_listed(keyed, pairs), "chunks")
-    repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    wanted = each.join(repeated, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("ats"))
-    texts = _bytes_of(keyed.select("k", "doc_id", "text").join(wanted, "k"))
-    same = texts.groupBy("chunk").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "a", "b")).alias("first"))
-    later = texts.join(same, "chunk").where((F.col("k") != F.col("first.k")) | (F.col("a") != F.col("first.a")))
-    fresh = F.when(F.col("k") == F.col("first.k"), F.greatest("a", "first.b")).otherwise(F.col("a"))  # what it shares with its first occurrence stays
-    return later.groupBy("k").agg(F.collect_set(F.struct(fresh.alias("a"), "b")).alias("ats"))
+    """``k1, k2, ats``: of each document, the spans of lines to remove.
+
+    A hash only names a piece. The bytes of all pieces whose hash repeats are
+    compared, each distinct one of a task once; should two texts share a hash, the
+    query fails rather than remove what does not repeat. Joins on a hash are between
+    plain exchanges, so those of a very common piece are split at run time.
+    """
+    hashes, key = ["h1", "h2"], ["k1", "k2"]
+    each = scratch.table(_listed(keyed, pairs), "pieces")
+    repeated = each.groupBy(*hashes).agg(F.count("*").alias("n")).where("n > 1").select(*hashes)
+    placed = scratch.table(each.join(repeated.hint("merge"), hashes, "left_semi"), "placed")
+    scratch.drop(each)
+    wanted = placed.groupBy(*key).agg(F.collect_list(F.struct("a", "b", *hashes)).alias("ats"))
+    texts = _bytes_of(keyed.select(*key, "text").join(wanted.hint("merge"), key)).distinct()
+    compared = scratch.table(texts.groupBy(*hashes).agg(F.count("*").alias("texts")), "compared")
+    first = placed.groupBy(*hashes).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key, "a", "b")).alias("first"))
+    first = scratch.table(first.join(compared, hashes).select(*hashes, F.when(F.col("texts") == 1, F.col("first")).otherwise(F.raise_error(F.lit("two pieces share 128 bits of hash"))).alias("first")), "first")
+    own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    later = placed.join(first.hint("merge"), hashes).where(~own | (F.col("a") != F.col("first.a")))
+    fresh = F.when(own, F.greatest("a", "first.b")).otherwise(F.col("a"))  # what it shares with its first occurrence stays
+    return later.groupBy(*key).agg(F.collect_set(F.struct(fresh.alias("a"), "b")).alias("ats"))
 
 
 def remove_repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
@@ -128,11 +141,14 @@ def remove_repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
     what repeats right after itself keeps its first two lines. Rows that agree in
     doc_id and text are one document and share the result. Null texts stay null;
     empty texts and those of one line stay as they are; a text whose pieces all
-    came earlier becomes empty. A null doc_id sorts last.
+    came earlier becomes empty. A null doc_id sorts last. Other columns of any
+    name pass unchanged; where one is called ``__lines`` or ``__removed``, the
+    count's name gets underscores after it, and the counts are the last two columns.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = docs.withColumn("k", F.xxhash64("doc_id", "text", F.length("text")))
-    gone = scratch.table(_removals(keyed.select("k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch, pairs), "gone")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(*doc_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.struct(*others) if others else F.lit(None)).alias("rest"))
+    gone = scratch.table(_removals(keyed.select("k1", "k2", "doc_id", "text"), scratch, pairs), "gone")
 
     @F.pandas_udf("text string, lines int, removed int")
     def cut(texts, ats):
@@ -154,11 +170,12 @@ def remove_repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
             rows.append((b"\n".join(kept).decode(), lines, len(drop)))
         return pd.DataFrame(rows, columns=["text", "lines", "removed"])
 
-    joined = keyed.join(gone.withColumnRenamed("ats", "__ats").hint("merge"), "k", "left").withColumn("__cut", cut("text", "__ats"))
-    columns = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.col("__cut.lines").alias("__lines"), F.col("__cut.removed").alias("__removed"))
+    joined = keyed.select("k1", "k2", "text", "rest").join(gone.hint("merge"), ["k1", "k2"], "left").select("rest", cut("text", "ats").alias("cut"))
+    columns = [F.col("cut.text").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.col("cut.lines").alias(free(docs.columns, "__lines")), F.col("cut.removed").alias(free(docs.columns, "__removed")))
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated(documents(spark, sf_dir), pairs=True)
+    """Lines, lines removed and a digest of the text left, of every row of documents (null where the text is null)."""
+    out = remove_repeated(documents(spark, sf_dir).select("doc_id", "text"), pairs=True)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, documents
+from ._shared import Scratch, doc_key, documents
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bounds of the quality weights; bins differ in expected rows by at most HIGH / LOW.
@@ -90,22 +90,32 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 42, bin_rows: int = 4096
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` with all its columns, each as often as the plan takes it."""
+    """The mixed corpus: rows of ``docs`` with all its columns, each as often as the plan takes it.
+
+    Null and empty texts have size 0: they come as often as their source has
+    complete epochs. A null source is a source of its own, a null doc_id an id like
+    any other. Rows that agree in doc_id, source and text share the copies drawn for
+    them, more for those with the smaller hash of the other columns (which must not
+    be maps), so reruns agree. Other columns of any name pass unchanged; an empty
+    table gives no rows. Texts travel once, to the rows of the plan.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
-    named = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.length("text")))
-    taken = plan(named, scratch, seed, keep=("__row",)).groupBy("doc_id", "source", "__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__same")).where("__copies > 0")
-    keys = ["doc_id", "source", "__row"]
-    # rows that agree in all three share the copies drawn for them
-    t = taken.select(*[F.col(k).alias(f"t_{k}") for k in keys], "__copies", "__same")
-    joined = named.join(t, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("__row") == F.col("t___row")))
-    once = joined.where("__same = 1").withColumn("__n", F.col("__copies"))
-    order = W.partitionBy(*keys).orderBy(F.lit(1))
-    several = joined.where("__same > 1").withColumn("__k", F.row_number().over(order))
-    several = several.withColumn("__n", F.floor(F.col("__copies") / F.col("__same")) + F.when(F.col("__k") <= F.pmod("__copies", "__same"), 1).otherwise(0)).drop("__k").where("__n > 0")
-    rows = once.unionByName(several)
-    return rows.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    key = ["k1", "k2", "k3"]
+    keyed = docs.select(*doc_key(), F.xxhash64(*others).alias("k3"), "doc_id", "text", "source", F.struct(*others).alias("rest"))
+    planned = plan(keyed.select("doc_id", "text", "source", *key), scratch, seed, keep=tuple(key))
+    same = W.partitionBy("k1", "k2", "source").orderBy("k3")
+    all_ = W.partitionBy("k1", "k2", "source")
+    taken = planned.select(*key, "source", "copies", F.row_number().over(same).alias("nth"), F.count("*").over(all_).alias("same"), F.sum("copies").over(all_).alias("all"))
+    own = F.when(F.col("same") == 1, F.col("copies")).otherwise(F.floor(F.col("all") / F.col("same")) + F.when(F.col("nth") <= F.pmod("all", "same"), 1).otherwise(0))
+    # of rows that agree in all columns, the first comes for all of them
+    taken = scratch.table(taken.withColumn("n", own).groupBy(*key).agg(F.sum("n").cast("int").alias("n")).where("n > 0"), "taken")
+    joined = keyed.select(*key, "text", "rest").join(taken.hint("merge"), key).withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy(*key))).where("nth = 1")
+    rows = joined.select("text", "rest", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    return rows.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of ``mix`` for all documents, one row each: words, its source's words and target, and the words the mix takes of it."""
     out = plan(documents(spark, sf_dir), Scratch(spark, "mixing"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -7,6 +7,7 @@ executor: intermediate tables are Parquet below ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Frees the shuffle files of queries that have ended; they stay until the driver's JVM collects their plans, so it is asked to, after a large table."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:

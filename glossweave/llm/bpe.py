@@ -4,12 +4,16 @@ Pre-tokens are listed with their positions, each distinct one is encoded once in
 the whole corpus, ids are joined back, and texts are put together by position;
 decoding joins the table of token bytes.
 
-What travels is packed by blocks of documents. A block holds its texts as
+What travels is packed by blocks of documents, the token-byte table too: it is
+joined to the rows of blocks, of which each gets one packed copy (some hundred KB
+for 32 MB of text). A block holds its texts as
 sequences of slots (the positions), and lists its distinct words once, dealt by
 a hash of the word into buckets. The first exchange brings a bucket's words from
 all blocks together, where each is encoded once; the second brings the ids back
 to their block. A row is a block's part of a bucket, so no word is ever a hot
-key: it has one entry a block, however often it occurs.
+key: it has one entry a block, however often it occurs. Positions take both
+exchanges, compressed near their entropy: keeping them out of the first one would
+mean to write the blocks to disk, which costs more than it saves.
 """
 
 from __future__ import annotations
@@ -76,15 +80,19 @@ def _encoder(v: Vocabulary) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
-_TOKENS: dict[int, dict[int, bytes]] = {}
+def _pack_table(ranks: dict[bytes, int]) -> bytes:
+    """Token bytes by id, packed: ids, lengths and bytes."""
+    ids = sorted((r, t) for t, r in ranks.items())
+    head = np.array([len(ids), *[r for r, _ in ids], *[len(t) for _, t in ids]], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(t for _, t in ids))
 
 
-def _tokens(v: Vocabulary) -> dict[int, bytes]:
-    """The table of token bytes, as large as the vocabulary, on an executor."""
-    key = hash((v.packed, v.pattern))
-    if key not in _TOKENS:
-        _TOKENS[key] = {r: t for t, r in v.ranks().items()}
-    return _TOKENS[key]
+def _unpack_table(data: bytes) -> dict[int, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    numbers = np.frombuffer(raw, np.uint32, 2 * n, 4)
+    ends = np.cumsum(numbers[n:].astype(np.int64)) + 4 + 8 * n
+    return {r: raw[b - k : b] for r, k, b in zip(numbers[:n].tolist(), numbers[n:].tolist(), ends.tolist())}
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -209,23 +217,24 @@ def decode_ids(encoded: DataFrame, v: Vocabulary, key: str) -> DataFrame:
     return each.select(key, F.filter(F.transform("t", lambda x: x["id"]), lambda x: x.isNotNull()).alias("ids"), joined.alias("bytes"))
 
 
-def _packed_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input, which sizes the buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def by_document(docs: DataFrame, v: Vocabulary, schema: str, make, buckets: int | None = None) -> DataFrame:
+    """``make(ids_of_slot, token_bytes)`` prepares a block and returns what turns a document's slots into columns after doc_id.
 
-def by_document(docs: DataFrame, v: Vocabulary, schema: str, make) -> DataFrame:
-    """``make(ids_of_slot)`` prepares a block and returns what turns a document's slots into columns after doc_id."""
-    buckets = max(64, min(1 << 20, _packed_bytes(docs.select("text")) >> 23))
+    A bucket is for some 8 million characters of text, counted in a pass of its own
+    unless ``buckets`` is given.
+    """
+    if buckets is None:
+        buckets = max(64, (docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) >> 23)
     kinds = [f.type for f in to_arrow_schema(_parse_datatype_string(f"doc_id long, {schema}"))]
     names = [f.name for f in _parse_datatype_string(f"doc_id long, {schema}")]
 
     def run(group: pa.Table) -> pa.Table:
         parts: list = []
-        texts = []
+        texts, table = [], None
         for row in group.to_pylist():
             if row["kind"] == 0:
                 texts.append(row)
+                table = table or _unpack_table(row["tokens"])
             else:
                 slots, n = _unpack(row["slots"]), _unpack(row["lengths"])
                 parts.append((slots, np.split(_unpack(row["data"]), np.cumsum(n)[:-1])))
@@ -233,7 +242,7 @@ def by_document(docs: DataFrame, v: Vocabulary, schema: str, make) -> DataFrame:
         for slots, found in parts:
             for k, x in zip(slots.tolist(), found):
                 ids[k] = x
-        each, out = make(ids), []
+        each, out = make(ids, table), []
         for row in texts:
             lengths, codes = _unpack(row["lengths"]), _unpack_codes(row["data"])
             ends = np.cumsum(lengths.astype(np.int64))
@@ -241,7 +250,9 @@ def by_document(docs: DataFrame, v: Vocabulary, schema: str, make) -> DataFrame:
                 out.append((doc_id if known else None, *each(codes[a:b])))
         return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(names, kinds))})
 
-    return encode_words(blocks(docs, v.pattern, buckets), v).groupBy("block").applyInArrow(run, f"doc_id long, {schema}")
+    packed = docs.sparkSession.createDataFrame(pa.table({"kind": pa.array([0], pa.int32()), "tokens": pa.array([_pack_table(v.ranks())], pa.binary())}))
+    joined = encode_words(blocks(docs, v.pattern, buckets), v).join(F.broadcast(packed), "kind", "left")
+    return joined.groupBy("block").applyInArrow(run, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -252,7 +263,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     are documents like any other; other columns are ignored.
     """
 
-    def make(ids: list):
+    def make(ids: list, table: dict[int, bytes]):
         return lambda codes: ([x for c in codes.tolist() for x in ids[c].tolist()],)
 
     return by_document(docs, v, "ids array<int>", make)
@@ -266,10 +277,13 @@ def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids as text, SHA-256 of the bytes they stand for in the token table."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: per document, digests of the ids as text and of the bytes that the ids join to in the token table.
+
+    Null texts count as empty; a row of output for each row of input, repeated rows,
+    null doc_ids and very long texts included; other columns are ignored.
+    """
 
-    def make(ids: list):
-        table = _tokens(v)
+    def make(ids: list, table: dict[int, bytes]):
         count = np.array([len(x) for x in ids], np.int64)
         text = [b" ".join([b"%d" % x for x in own]) for own in (x.tolist() for x in ids)]
         raw = [b"".join([table[x] for x in own]) for own in (x.tolist() for x in ids)]
@@ -284,4 +298,5 @@ def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``digests`` of all documents under the public byte-level vocabulary."""
     return digests(documents(spark, sf_dir), public())

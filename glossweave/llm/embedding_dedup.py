@@ -146,11 +146,15 @@ def _trees(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(embeddings: DataFrame, scratch: Scratch, cosine: float = 0.98, axes_kept: int = 8, block_rows: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``classes(label, v, low, copies)``, ``counts(low, n)`` and forest edges ``(a, b)`` over the classes' smallest ids."""
+    """``classes(label, v, dim, low, copies, node)``, ``counts(node, low, n)`` and forest edges ``(a, b)`` over the classes' nodes.
+
+    A class is a label and a vector; ``node`` numbers it (so rows that share a
+    vec_id but not a vector are apart), ``low`` is its smallest vec_id.
+    """
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9) + 1e-7
     rows = embeddings.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("label").cast("string").alias("label"), plain().alias("v"), F.col("vec_id").cast("long").alias("vec_id"))
-    classes = scratch.table(rows.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "classes")
+    classes = scratch.table(rows.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered at rest
     axes = principal_axes(classes, axes_kept)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +169,8 @@ def links(embeddings: DataFrame, scratch: Scratch, cosine: float = 0.98, axes_ke
                 cells[at] = np.floor(_project(_unit(m), axes) / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
-    placed = classes.select("label", "v", "low", "copies", "dim").mapInArrow(place, "label string, v array<double>, low long, copies long, dim int, cells array<int>")
-    order = ["label", "dim", "cells", "low"]
+    placed = classes.select("label", "v", "node", "copies", "dim").mapInArrow(place, "label string, v array<double>, node long, copies long, dim int, cells array<int>")
+    order = ["label", "dim", "cells", "node"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sequence intervals of at most block_rows vectors of one label, with their boxes."""
@@ -179,7 +183,7 @@ def links(embeddings: DataFrame, scratch: Scratch, cosine: float = 0.98, axes_ke
             first = [r["cells"][0] for r in held]
             out = {
                 "block": [part | seq], "label": [key[0]], "dim": [key[1]], "n": [len(held)], "cells": [[min(first), max(first)]], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()],
-                "ids": [np.array([r["low"] for r in held], np.int64).tobytes()], "copies": [np.array([r["copies"] for r in held], np.int64).tobytes()], "vectors": [m.tobytes()],
+                "ids": [np.array([r["node"] for r in held], np.int64).tobytes()], "copies": [np.array([r["copies"] for r in held], np.int64).tobytes()], "vectors": [m.tobytes()],
             }
             seq, held = seq + 1, []
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
@@ -226,7 +230,8 @@ def links(embeddings: DataFrame, scratch: Scratch, cosine: float = 0.98, axes_ke
                 })
 
     found = scratch.table(loaded.mapInArrow(joined, "id long, n long, other long"), "found")
-    return classes, found.where("n is not null").groupBy(F.col("id").alias("low")).agg(F.sum("n").alias("n")), found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    counts = found.where("n is not null").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")).join(classes.select("node", "low"), "node")
+    return classes, counts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -235,21 +240,24 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     Only vectors of equal, known label and equal dimension are compared. Null,
     zero or non-finite vectors and those without a label link with nothing and are
     their own component. Rows with a null vec_id get zero links and a null
-    component. Repeated rows link with each other like any two vectors. vec_id is
-    taken to name one vector. Other columns are ignored.
+    component. Repeated rows link with each other like any two vectors, and so do
+    different vectors under one vec_id, each by itself. Other columns are ignored;
+    an empty table gives no rows.
     """
     scratch = Scratch(embeddings.sparkSession, "embeddings")
     classes, counts, edges = links(embeddings, scratch, cosine)
     roots = scratch.table(connected_components(edges, scratch), "roots")
-    per = classes.join(counts, "low", "left").join(roots.withColumnRenamed("node", "low"), "low", "left")
-    per = per.select(*_class("label", "v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "low").alias("root"))
+    per = classes.join(counts.drop("low"), "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = per.groupBy("root").agg(F.min("low").alias("component"))
+    per = per.join(lows, "root").select(*_class("label", "v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     good = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), good.alias("good"), F.col("label").cast("string").alias("label"), F.when(good, plain()).alias("v"))
     rows = rows.select("vec_id", *[F.when(F.col("good"), h).alias(f"h{k}") for k, h in enumerate(_class("label", "v"), 1)])
     out = rows.join(per, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of embeddings at cosine 0.98, by ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -123,11 +123,15 @@ def _removals(keyed: DataFrame, scratch: Scratch, pairs: bool) -> DataFrame:
     repeated = each.groupBy(*hashes).agg(F.count("*").alias("n")).where("n > 1").select(*hashes)
     placed = scratch.table(each.join(repeated.hint("merge"), hashes, "left_semi"), "placed")
     scratch.drop(each)
+    del each, repeated
+    scratch.sweep()
     wanted = placed.groupBy(*key).agg(F.collect_list(F.struct("a", "b", *hashes)).alias("ats"))
     texts = _bytes_of(keyed.select(*key, "text").join(wanted.hint("merge"), key)).distinct()
     compared = scratch.table(texts.groupBy(*hashes).agg(F.count("*").alias("texts")), "compared")
     first = placed.groupBy(*hashes).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key, "a", "b")).alias("first"))
     first = scratch.table(first.join(compared, hashes).select(*hashes, F.when(F.col("texts") == 1, F.col("first")).otherwise(F.raise_error(F.lit("two pieces share 128 bits of hash"))).alias("first")), "first")
+    del texts, wanted
+    scratch.sweep()
     own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     later = placed.join(first.hint("merge"), hashes).where(~own | (F.col("a") != F.col("first.a")))
     fresh = F.when(own, F.greatest("a", "first.b")).otherwise(F.col("a"))  # what it shares with its first occurrence stays

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import bisect
 import functools
-import hashlib
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -175,12 +174,12 @@ class Trees:
         bins = self._bins(x, self.edges)
         total = np.full(len(x), self.start)
         for nodes in self.trees:
-            for i in range(len(x)):
-                at = 0
-                while nodes[at][0] >= 0:
-                    j, k, low, high, _ = nodes[at]
-                    at = low if bins[i, j] <= k else high
-                total[i] += nodes[at][4]
+            feature, cut, low, high, value = (np.array(c) for c in zip(*nodes))
+            at = np.zeros(len(x), np.int64)
+            while (inner := feature[at] >= 0).any():  # all rows go down one level at a time
+                rows, n = np.flatnonzero(inner), at[inner]
+                at[rows] = np.where(bins[rows, feature[n]] <= cut[n], low[n], high[n])
+            total += value[at]
         return total
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -253,8 +252,8 @@ def train(n: int = 3000, seed: int = 42, precision: float = 0.99) -> Judge:
     p, threshold = trees.probability(x[out]), {}
     for k, kind in enumerate(KINDS):
         own = x[out][:, 0] == k
-        levels = [t for t in sorted(set(p[own].round(3))) if t >= 0.5 and y[out][own][p[own] >= t].mean() >= precision]
-        threshold[kind] = float(levels[0]) if levels else 1.1
+        levels = [t for t in np.unique(np.floor(p[own] * 1000) / 1000) if t >= 0.5 and y[out][own][p[own] >= t].mean() >= precision]
+        threshold[kind] = float(levels[0]) if levels else 1.1  # no level has the precision: nothing of this kind is added
     return Judge(trees, threshold)
 
 
@@ -288,10 +287,6 @@ def find(text: str | None, judge: Judge) -> tuple[list[Span], list[Span]]:
     return base, added
 
 
-def _line(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))))
-
-
 def detect(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
     """``doc_id, base, added``: spans (kind, start, end in code points, end exclusive) of every row of ``docs(doc_id, text)``.
 
@@ -312,7 +307,11 @@ def detect(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets (overlapping spans by the first one's); all columns stay."""
+    """``docs`` with every span replaced by its kind in brackets (overlapping spans by the first one's); all columns stay, of any name.
+
+    Null texts stay null, empty ones empty; texts are read whole; repeated rows are
+    treated alike; an empty table gives no rows.
+    """
     judge = judge or train()
 
     @F.pandas_udf("string")
@@ -334,17 +333,11 @@ def redact(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judge = train()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for base, added in (find(t, judge) for t in batch.column(1).to_pylist()):
-                n = [sum(k == kind for k, *_ in base) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(_line(base).encode()).hexdigest(), _line(base + added), len(added)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["doc_id", *names])
-
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    """Base spans counted by kind and digested, and all spans, of every row of documents; the spans are those of ``detect``."""
+    found = detect(documents(spark, sf_dir))
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
+    place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    before = lambda x, y: F.when(x["first"] != y["first"], x["first"] - y["first"]).otherwise(place(x) - place(y)).cast("int")
+    counts = [F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    every = F.array_sort(F.concat("base", "added"), before)
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line(every).alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -100,25 +100,36 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int | None = None) -> tup
 _ENDED = np.int64(1 << 40)
 
 
-def pointers(data: np.ndarray, sizes: np.ndarray, length: int, parts: int = 16) -> np.ndarray:
-    """Of each position of texts of ``sizes`` bytes, laid end to end in ``data``, the place of its bucket among the sorted suffixes.
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros after the end."""
+    out, padded = np.zeros(len(data), np.uint64), np.r_[data, np.zeros(8, np.uint8)]
+    for j in range(8):
+        out = (out << np.uint64(8)) | padded[j : j + len(data)]
+    return out
+
 
-    Suffixes end with their text. Buckets are ordered as their suffixes; positions
-    stay in one bucket only if they agree on ``length`` bytes or up to both ends.
+def pointers(word: np.ndarray, sizes: np.ndarray, length: int, parts: int = 16) -> np.ndarray:
+    """Of each position of texts of ``sizes`` bytes, laid end to end, the place of its bucket among the sorted suffixes.
+
+    ``word`` are the ``words`` of the texts. Suffixes end with their text. Buckets
+    are ordered as their suffixes; positions stay in one bucket only if they agree
+    on ``length`` bytes or up to both ends.
     """
-    n = len(data)
+    n = len(word)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-    word, padded = np.zeros(n, np.uint64), np.r_[data, np.zeros(8, np.uint8)]
-    for j in range(8):
-        word = (word << np.uint64(8)) | np.where(left > j, padded[j : j + n], 0).astype(np.uint64)
-    short = np.minimum(left, 8)
-    order = np.lexsort((short, word))
-    w, s = word[order], short[order]
-    new = np.r_[True, (w[1:] != w[:-1]) | (s[1:] != s[:-1])]
+    word = word.copy()
+    for k in range(1, 8):  # bytes of the next text do not count
+        at = np.flatnonzero(left == k)
+        word[at] &= ~np.uint64(0) << np.uint64(8 * (8 - k))
+    order = np.argsort(word)
     bucket = np.empty(n, np.int64)
-    bucket[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    bucket[order] = np.cumsum(np.r_[False, word[order][1:] != word[order][:-1]])
+    key = bucket * 16 + np.minimum(left, 9)  # what ends comes first, and is apart
+    order = np.argsort(key)
+    bucket[order] = np.maximum.accumulate(np.where(np.r_[True, key[order][1:] != key[order][:-1]], np.arange(n), 0))
     agree = np.where(left <= 8, _ENDED, 8)
-    del word, padded, short, order, w, s, new
+    del word, key, order
+    blocks = int(left.max()) // parts + 1
     while True:
         open_ = np.flatnonzero((np.bincount(bucket, minlength=n)[bucket] > 1) & (agree < length))
         if not len(open_):
@@ -126,20 +137,20 @@ def pointers(data: np.ndarray, sizes: np.ndarray, length: int, parts: int = 16)
         # buckets near the ends of texts first: the others find their pointers refined
         near = np.full(n, n, np.int64)
         np.minimum.at(near, bucket[open_], left[open_])
-        open_ = open_[np.lexsort((bucket[open_], near[bucket[open_]]))]
-        heads = np.flatnonzero(np.r_[True, bucket[open_][1:] != bucket[open_][:-1]])
-        cuts = np.unique(heads[np.searchsorted(heads, np.linspace(0, len(open_), parts, endpoint=False), side="right") - 1])
-        for part in np.split(open_, cuts[1:]):
+        block = (near[bucket[open_]] // blocks).astype(np.uint8)
+        open_ = open_[np.argsort(block, kind="stable")]
+        for part in np.split(open_, np.cumsum(np.bincount(block))[:-1]):
             b, d = bucket[part], agree[part]
             ended = d >= left[part]
-            after = np.where(ended, 0, part + np.where(ended, 0, d))
-            p = np.where(ended, -1, bucket[after])
+            after = np.where(ended, 0, part + d)
+            p = np.where(ended, 0, bucket[after] + 1)
             gain = np.where(ended, _ENDED, agree[after])
-            o = np.lexsort((p, b))
-            b, p, part = b[o], p[o], part[o]
+            key = b * (n + 1) + p
+            o = np.argsort(key)
+            key, b, part = key[o], b[o], part[o]
             at = np.arange(len(part))
-            head = np.maximum.accumulate(np.where(np.r_[True, b[1:] != b[:-1]], at, 0))
-            run = np.maximum.accumulate(np.where(np.r_[True, (b[1:] != b[:-1]) | (p[1:] != p[:-1])], at, 0))
+            head = np.maximum.accumulate(np.where(np.r_[True, b[1:] != b[:-1]][: len(b)], at, 0))
+            run = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]][: len(b)], at, 0))
             bucket[part] = b + run - head
             agree[part] = np.minimum(d[o] + gain[o], _ENDED)
 
@@ -149,19 +160,23 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, sizes: np
 
     ``data`` is one text, or texts of ``sizes`` bytes end to end; at least
     ``length`` bytes of a start's own text follow it. Neighbours among the sorted
-    suffixes are compared byte by byte.
+    suffixes are compared byte by byte, eight at a time.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    bucket = pointers(data, np.array([len(data)]) if sizes is None else sizes, length)
+    word = words(data)
+    bucket = pointers(word, np.array([len(data)]) if sizes is None else sizes, length)
     order = np.argsort(bucket[starts], kind="stable")
     p = starts[order]
     differ = np.ones(len(p), bool)
-    span = np.arange(length)
-    for k in range(1, len(p), 4096):
-        a, b = p[k - 1 : k + 4095], p[k : k + 4096]
-        a = a[: len(b)]
-        differ[k : k + 4096] = (data[a[:, None] + span] != data[b[:, None] + span]).any(1)
+    same = np.arange(1, len(p))
+    if length < 8:
+        word, step = data, range(length)
+    else:
+        step = dict.fromkeys([length - 8, *range(0, length - 7, 8)])
+    for k in step:
+        same = same[word[p[same - 1] + k] == word[p[same] + k]]
+    differ[same] = False
     out = np.empty(len(p), np.int64)
     out[order] = np.cumsum(differ) - 1
     return out
@@ -218,7 +233,7 @@ def _windows(dealt: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows: list[tuple] = []
-            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
                 if not need:
                     continue
                 view = memoryview(text.as_buffer())
@@ -245,7 +260,7 @@ def _hashed(dealt: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows: list[tuple] = []
-            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
                 for x in need or ():
                     first, last = _place(x["pos"])
                     rows.append((k1, k2, x["pos"], x["g"], xxhash.xxh3_64_intdigest(memoryview(text.as_buffer())[first : last + length]) - (1 << 63)))
@@ -267,7 +282,7 @@ def _contexts(dealt: DataFrame, length: int, held_bytes: int = 8 << 20) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["g", "c", "n", "context"])
 
         for batch in slices(batches, 64):
-            for text, need in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+            for text, need in zip(batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
                 if not need:
                     continue
                 view = memoryview(text.as_buffer())
@@ -287,16 +302,17 @@ def _contexts(dealt: DataFrame, length: int, held_bytes: int = 8 << 20) -> DataF
     return dealt.mapInArrow(run, "g long, c long, n long, context binary")
 
 
-def _refined(contexts: DataFrame, length: int, at_once: int = 1 << 20) -> DataFrame:
+def _refined(contexts: DataFrame, length: int, at_once: int = 1 << 17) -> DataFrame:
     """``g, c, first, last``: runs of windows, from a context's first, that start more than once."""
 
     def settle(held: list[list]) -> list[tuple[int, int, int, int]]:
         out = []
         sizes = np.array([len(r[3]) for r in held])
         n = sizes - length + 1
-        bucket = np.array([r[0] for r in held])
+        bucket, count = np.array([r[0] for r in held]), np.array([r[2] for r in held])
         _, inverse, members = np.unique(bucket, return_inverse=True, return_counts=True)
-        alone = members[inverse] == 1
+        once = np.bincount(inverse, count == 1, len(members))[inverse] == 0
+        alone = (members[inverse] == 1) | once  # a bucket whose contexts have all been met as a whole, or with one context
         out += [(r[0], r[1], 0, int(w) - 1) for r, w, x in zip(held, n, alone) if x and r[2] > 1]
         some = np.flatnonzero(~alone)
         if len(some):
@@ -337,12 +353,13 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
     """``docs(k1, k2, doc_id, text)`` with ``spans``: byte ranges (first, last, end exclusive), unmerged, that are covered by repeated strings; null if none."""
     if length > 1 << 16:
         raise ValueError("strings of more than 65,536 bytes are not supported")
-    texts = docs.select(*KEY, "text")
-    dealt = lambda places: texts.join(places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "g", "c")).alias("need")), list(KEY), "left").select(*KEY, "text", "need")
+    dealt = lambda places: docs.join(places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "g", "c")).alias("need")), list(KEY), "left").select(*KEY, "doc_id", "text", "need")
     each = scratch.table(_listed(docs, length, max(1, length // 4)), "contexts")
     buckets = each.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("several")).where("n > 1")
     places = scratch.table(each.join(buckets.select("g", (F.col("several") & (F.col("n") > hot)).alias("hot")), "g").select(*KEY, "pos", "g", "c", "hot"), "places")
     scratch.drop(each)
+    del each, buckets
+    scratch.sweep()
     if places.where("hot").head(1):
         windows = scratch.table(_windows(dealt(places.where("hot")), length), "windows")
         again = windows.groupBy("g", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("g", "h1", "h2")

@@ -61,8 +61,10 @@ def resolve_revisits(records: DataFrame, hot: int = 4096) -> DataFrame:
     (what has confirmed the response), ``unchecked`` (nothing to compare),
     ``mismatch`` (a validator differs: neither headers nor payload are given), and
     ``missing`` (no earlier full response, or a null url or date). Null headers
-    count as none, a null record_id sorts first. Repeated revisits are resolved
-    each; record_id should name one response. Other columns are ignored.
+    count as none, a null record_id sorts first and is never joined to a payload.
+    Repeated revisits are resolved each; repeated responses count once, and of
+    different responses with one record_id the payload is the earliest one's, then
+    the smallest. Texts of any length pass whole. Other columns are ignored.
     """
     full = (F.col("status") == 200) & F.col("payload").isNotNull()
     r = records.where(full | (F.col("status") == 304))
@@ -90,7 +92,8 @@ def resolve_revisits(records: DataFrame, hot: int = 4096) -> DataFrame:
     found = found.withColumn("verdict", verdict.otherwise("unchecked"))
     good = ~F.col("verdict").isin("missing", "mismatch")
     found = found.select("record_id", "canonical", F.col("s.record_id").alias("resolved_id"), "verdict", F.when(good, merge_headers(F.col("old"), F.col("headers"))).alias("headers"), F.when(good, F.col("s.record_id")).alias("__body"))
-    bodies = records.where(full).select(F.col("record_id").alias("__body"), "payload")
+    # one body a record_id: the earliest, then the smallest, if several responses share it
+    bodies = records.where(full).groupBy(F.col("record_id").alias("__body")).agg(F.min(F.struct(F.col("date").isNull().alias("undated"), "date", "payload"))["payload"].alias("payload"))
     return found.join(bodies, "__body", "left").drop("__body")
 
 
@@ -111,6 +114,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisits of ``captures`` of all pages, with merged headers as text and a digest of the payload (null where none is given)."""
     out = resolve_revisits(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     listed = F.array_join(F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit("="), h["value"])), ";")
     return out.select("record_id", "canonical", "resolved_id", "verdict", listed.alias("merged"), F.sha2("payload", 256).alias("payload_sha256"))

@@ -54,3 +54,12 @@ def test_small_blocks_and_many_intervals(spark):
     n = {r.low: r.n for r in counts.collect()}
     assert all(want[low] == n.get(low, 0) + c - 1 for low, c in copies.items())
     assert edges.count() < 4 * len(rows)
+
+
+def test_one_id_for_two_vectors(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.001], 1), (9, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert got == [(7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+    df = spark.createDataFrame([*rows[:3], (5, [-1.0, 0.0], 1)], df.schema)
+    assert sorted(r.n_links for r in near_duplicates(df).collect() if r.vec_id == 7) == [0, 1]

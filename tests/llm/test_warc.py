@@ -58,3 +58,12 @@ def test_query_agrees_with_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     assert got == sorted(con.sql(OP7_SQL).fetchall(), key=str)
+
+
+def test_repeated_responses_and_shared_ids(spark):
+    full = (2, "u", 1, 200, [("ETag", "x")], "body", None, None)
+    rows = [full, full, full, (3, "u", 5, 304, [("etag", "x")], None, None, None), (2, "v", 0, 200, [], "an earlier one", None, None)]
+    got = [(r.record_id, r.resolved_id, r.verdict, r.payload) for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [(3, 2, "etag", "an earlier one")]
+    got = [r.payload for r in resolve_revisits(spark.createDataFrame(rows[:4], SCHEMA)).collect()]
+    assert got == ["body"]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossweave.llm.ann import nearest
+from glossweave.llm.ann import fit, nearest
 
 
 def brute(rows, asked, k=10):
@@ -47,3 +47,34 @@ def test_edges(spark):
     assert got == [(0, 1, 6, 4.0), (0, 2, 7, 4.0)]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
     assert nearest(df, df.where(F.lit(False))).count() == 0
+
+
+def test_a_group_of_near_copies_and_a_second_dimension(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16))
+    x[:1500] = x[0] + rng.normal(size=(1500, 16)) * 0.002  # many more than the shortlist, in few codes
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(10_000 + k, [float(v) for v in row]) for k, row in enumerate(rng.normal(size=(40, 3)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near, low, hits, rest = {i: np.array(v) for i, v in rows}, [], 0, 0
+    for q in [i for i, _ in rows if i % 100 == 0]:
+        d = sorted((np.linalg.norm(near[q] - v), i) for i, v in near.items() if i != q and len(v) == len(near[q]))
+        want = {i for _, i in d[:10]}
+        assert len(got[q]) == 10
+        if q < 1500:
+            low.append(len(want & got[q]))
+        hits, rest = hits + len(want & got[q]), rest + 10
+        assert q < 10_000 or want == got[q]
+    assert np.mean(low) > 9.5 and hits / rest >= 0.9
+
+
+def test_lists_with_few_rows_are_not_the_end(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)) * np.repeat([1, 1000], 200)[:, None]
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    index = fit(x, 400)
+    index.probes = 1
+    counts = nearest(df, df, k=50, index=index).groupBy("query_id").count().collect()
+    assert len(counts) == 400 and {r["count"] for r in counts} == {50}

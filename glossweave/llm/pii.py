@@ -338,6 +338,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
     place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
     before = lambda x, y: F.when(x["first"] != y["first"], x["first"] - y["first"]).otherwise(place(x) - place(y)).cast("int")
-    counts = [F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
     every = F.array_sort(F.concat("base", "added"), before)
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line(every).alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -161,6 +161,11 @@ def sense_graph(senses: DataFrame, fallback: bool = False, own_lemma: bool = Tru
     return LexicalGraph(s, picked.select(F.col("node").alias("src"), F.col("target").alias("dst")).distinct(), counters)
 
 
+def synset_graph(synsets: DataFrame, fallback: bool = False) -> LexicalGraph:
+    """Nodes are synsets ``(node, lemma, pos, rank, definition)``, a row a member lemma; a signature is the definition's words alone."""
+    return sense_graph(synsets, fallback, own_lemma=False)
+
+
 def rival_attacks(senses: DataFrame, per_pos: bool = False) -> tuple[DataFrame, DataFrame]:
     """Symmetric attacks ``(src, dst)`` among the senses of a lemma (or lemma and pos), and its cliques of two and more."""
     key = T.node_key(F.col("lemma"), F.col("pos")) if per_pos else F.col("lemma")

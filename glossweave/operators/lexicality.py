@@ -14,9 +14,17 @@ SHORT_WORDS = "a i s am an as at ax axe be by do go he if in is it me my no of o
 ABBREVIATION = r"(?i)\b(abbreviation|abbreviated|acronym|initialism|short for|stands for)\b"
 FORMULA = r"[A-Z][a-z]?[0-9]*(?:[A-Z][a-z]?[0-9]*)+"
 IDIOM = r"(?i)\b(idiomatic|idiomatically|an idiom\b|a colloquial expression|a fixed expression|used to express|an exclamation|an interjection)\b"
-DISCIPLINES = """computer science|mathematics|mathematical|mathematician|physics|linguistics|linguistic|logic|medicine|medicinal|law|music|musical|musician|grammar|geology|geological|economics|economic|astronomy|astronomical|heraldry|computing|programming|programmer|technical|taxonomic|trigonometry|stratigraphy|biological|theological|psychological|histological|chemical"""
-DOMAIN_TAGS = "math|mathematics|physics|chemistry|biology|astronomy|geology|music|economics|linguistics|law|medicine|computing|grammar|statistics|logic|trademark|architecture|heraldry|theology"
-TECHNICAL = rf"(?i)(?:\b(?:{DISCIPLINES})\b|\((?:{DOMAIN_TAGS})\))"
+DISCIPLINES = (
+    "computer science", "mathematics", "mathematical", "mathematician", "physics", "linguistics", "linguistic", "logic", "medicine",
+    "medicinal", "law", "music", "musical", "musician", "grammar", "geology", "geological", "economics",
+    "economic", "astronomy", "astronomical", "heraldry", "computing", "programming", "programmer", "technical", "taxonomic",
+    "trigonometry", "stratigraphy", "biological", "theological", "psychological", "histological", "chemical",
+)
+DOMAIN_TAGS = (
+    "math", "mathematics", "physics", "chemistry", "biology", "astronomy", "geology", "music", "economics", "linguistics",
+    "law", "medicine", "computing", "grammar", "statistics", "logic", "trademark", "architecture", "heraldry", "theology",
+)
+TECHNICAL = rf"(?i)(?:\b(?:{'|'.join(DISCIPLINES)})\b|\((?:{'|'.join(DOMAIN_TAGS)})\))"
 CHEMICAL_WORDS = ("chemical element", "chemical symbol", "atomic number", "metallic element", "radioactive metallic element", "nonmetallic element", "noble gas", "element of the", "nobelium", "sulfur", "sulphur")
 TAXON_WORDS = ("taxonomic group", "taxonomic category", "genus of", "family of", "order of", "class of", "phylum of", "species of", "subspecies of", "type genus")
 TECHNICAL_WORDS = ("computer science", "in mathematics", "in physics", "in linguistics", "in logic", "in medicine", "in law", "in music", "in grammar")

@@ -71,9 +71,11 @@ def entry_keys(spark, d):
     return f.select("node", T.split_node(F.col("node"))["lemma"].alias("lemma"), T.split_node(F.col("node"))["pos"].alias("pos"), "ord", T.ic_of_node(F.col("node")).alias("ic"))
 
 
-MATCH = f""",
-lem AS MATERIALIZED (SELECT DISTINCT lemma FROM e),
-w AS MATERIALIZED (SELECT node, list_filter(regexp_extract_all(definition, '{TK}'), lambda x: replace(lower(x), '''', '') NOT IN ({X.STOP})) AS raw FROM f),
+def match_sql(texts: str = "f", lemmas: str = "e") -> str:
+    """Longest matches ``o(node, i, c)`` of the lemmas of one table in the definitions of another."""
+    return f""",
+lem AS MATERIALIZED (SELECT DISTINCT lemma FROM {lemmas}),
+w AS MATERIALIZED (SELECT node, list_filter(regexp_extract_all(definition, '{TK}'), lambda x: replace(lower(x), '''', '') NOT IN ({X.STOP})) AS raw FROM {texts}),
 p0 AS (SELECT node, raw, unnest(range(1, len(raw) + 1)) AS i FROM w),
 p1 AS (SELECT node, i, raw[i] AS r1, raw[i + 1] AS r2, raw[i + 2] AS r3 FROM p0),
 p2 AS (SELECT *, replace(lower(r1), '''', '') AS g1, replace(lower(r1 || '_' || r2), '''', '') AS g2, replace(lower(r1 || '_' || r2 || '_' || r3), '''', '') AS g3,
@@ -82,6 +84,9 @@ p AS MATERIALIZED (SELECT p2.node, p2.i, coalesce(title, CASE WHEN l3.lemma IS N
   CASE WHEN title IS NULL THEN coalesce(l3.lemma, l2.lemma, l1.lemma) END AS c
   FROM p2 LEFT JOIN lem l1 ON l1.lemma = g1 LEFT JOIN lem l2 ON l2.lemma = g2 LEFT JOIN lem l3 ON l3.lemma = g3),
 o AS MATERIALIZED (WITH RECURSIVE v AS (SELECT node, i, jump, c FROM p WHERE i = 1 UNION ALL SELECT p.node, p.i, p.jump, p.c FROM v JOIN p ON p.node = v.node AND p.i = v.i + v.jump) SELECT node, i, c FROM v WHERE c IS NOT NULL)"""
+
+
+MATCH = match_sql()
 RESOLVE = MATCH + """,
 hit AS (SELECT o.node, f.pos, o.c FROM o JOIN f USING (node)),
 only_ AS (SELECT lemma, count(*) AS k, min(node) AS node FROM f GROUP BY lemma),
@@ -139,6 +144,17 @@ def sense_fallback(spark, d):
     return build.sense_graph(X.senses(spark, d), fallback=True).counters
 
 
+@query("sense_graph_edges")
+def sense_graph_edges(spark, d):
+    return build.sense_graph(X.senses(spark, d)).edges
+
+
+@query("synset_graph_edges")
+def synset_graph_edges(spark, d):
+    """Synsets as nodes: the same resolution, signatures without the node's own lemma."""
+    return build.synset_graph(X.senses(spark, d)).edges
+
+
 @query("rival_cliques", X.sql("SELECT lemma AS key, count(*) AS size, count(*) * (count(*) - 1) AS attacks FROM e GROUP BY lemma HAVING count(*) > 1"))
 def rival_cliques(spark, d):
     pairs, cliques = build.rival_attacks(X.senses(spark, d))
@@ -224,7 +240,7 @@ def edit1_pairs(spark, d):
 
 @query("variant_candidates")
 def variant_candidates(spark, d):
-    return cluster.candidate_pairs(lemmas(spark, d))
+    return cluster.candidate_pairs(lemmas(spark, d)).select("a", "b", F.array_join("rules", ",").alias("rules"))
 
 
 @query("variant_clusters")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -60,8 +61,10 @@ class Scratch:
 
     def sweep(self) -> None:
         """Frees the shuffle files of queries that have ended; they stay until the driver's JVM collects their plans, so it is asked to, after a large table."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first run unlinks, the second one finds
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
 from glossweave.functions import text as T
+from glossweave.operators.loops import shared_folder
 
 ENTRY = "word string, pos string, lang_code string, senses array<struct<glosses: array<string>>>"
 FIELDS = ("frequency", "age_of_acquisition", "concreteness")
@@ -35,6 +36,20 @@ def jsonl(spark: SparkSession, path: str, schema: str | X.StructType) -> DataFra
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def stage(spark: SparkSession, url: str) -> str:
+    """A copy of what a URL names in the folder that all executors share, streamed by the driver's JVM; its path keeps the file's name, so ``.gz`` is read as such."""
+    path = f"{shared_folder(spark)}/{url.rstrip('/').rpartition('/')[2] or 'file'}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.net.URI(url).toURL().openStream(), target.getFileSystem(conf).create(target), conf, True)
+    return path
+
+
+def jsonl_url(spark: SparkSession, url: str, schema: str | X.StructType) -> DataFrame:
+    """``jsonl`` of a file behind a URL, gzipped or not, staged first."""
+    return jsonl(spark, stage(spark, url), schema)
+
+
 def glosses(sense: F.Column) -> F.Column:
     """Non-blank glosses of one sense, trimmed; none where there is no list."""
     return F.coalesce(F.filter(F.transform(sense["glosses"], lambda g: F.trim(g)), lambda g: g.isNotNull() & (g != "")), F.array().cast("array<string>"))
@@ -108,6 +123,51 @@ def norms(spark: SparkSession, path: str, first_wins: bool = False) -> DataFrame
     return rows.groupBy("word").agg(pick("value", "row").alias("value")).select("word", F.lit(metric.strip().lower()).alias("metric"), "value")
 
 
+def norms_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """``word, metric, value`` from workbooks: the first row names the columns, of duplicates the first counts, values that are no finite number are skipped.
+
+    A workbook is one archive of XML, so each file is one row's work.
+    """
+
+    def cells(data: bytes) -> list[list[str | None]]:
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        book = zipfile.ZipFile(io.BytesIO(data))
+        tag = lambda e: e.tag.rpartition("}")[2]
+        text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+        shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+        rows = []
+        for row in (e for e in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter() if tag(e) == "row"):
+            out: dict[int, str] = {}
+            for c in row:
+                letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(out)
+                value = next((v.text for v in c if tag(v) == "v"), None)
+                out[at] = shared[int(value)] if c.get("t") == "s" else text(c) if c.get("t") == "inlineStr" else value
+            rows.append([out.get(k) for k in range(max(out, default=-1) + 1)])
+        return rows
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for name, data in zip(pdf.path, pdf.content):
+                header, *body = cells(data) or [[]]
+                plain = [(h or "").strip().lower() for h in header]
+                key = next((plain.index(k) for k in KEYS[:3] if k in plain), 0)
+                rest = [k for k in range(len(plain)) if k != key and plain[k]]
+                rows += [(name, n, r[key], plain[k], r[k]) for n, r in enumerate(body) for k in rest[:1] if len(r) > max(k, key)]
+            yield pd.DataFrame(rows, columns=["path", "n", "word", "metric", "value"])
+
+    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, n long, word string, metric string, value string")
+    rows = read.select(T.normalize_lemma(F.col("word")).alias("word"), "metric", F.col("value").try_cast("double").alias("value"), F.struct("path", "n").alias("row")).where("word <> '' and value is not null and not isnan(value) and abs(value) <> double('infinity')")
+    return rows.groupBy("word", "metric").agg(F.min_by("value", "row").alias("value"))
+
+
 def wordlist(spark: SparkSession, path: str) -> DataFrame:
     """``word, ord``: normalised, each once, at its first line."""
     lines = spark.read.text(path).select(T.normalize_lemma(F.col("value")).alias("word"), F.monotonically_increasing_id().alias("row")).where("word <> ''")
@@ -135,6 +195,32 @@ def gcide_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "<p>").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
 
 
+def gcide_archive(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, value``: blocks of the files of ``.tar.xz`` archives in Latin-1, in the order of files and blocks; an archive is one row's work."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for name, data in zip(pdf.path, pdf.content):
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
+                    for k, member in enumerate(sorted((m for m in archive if m.isfile()), key=lambda m: m.name)):
+                        blocks = archive.extractfile(member).read().decode("latin-1").split("<p>")
+                        yield pd.DataFrame({"path": name, "k": k, "n": range(len(blocks)), "value": blocks})
+
+    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, k long, n long, value string")
+    return read.select(F.struct("path", "k", "n").alias("ord"), "value")
+
+
+def gcide_entries(blocks: DataFrame, column: str = "value") -> DataFrame:
+    """``ord, lemma, pos, definition``: one row a headword and pos, its blocks' definitions in order."""
+    one = gcide(blocks, column)
+    return one.groupBy("lemma", "pos").agg(F.array_sort(F.collect_list(F.struct("ord", "definition"))).alias("d")).select(F.get("d", F.lit(0))["ord"].alias("ord"), "lemma", "pos", F.array_join(F.transform("d", lambda x: x["definition"]), " ; ").alias("definition"))
+
+
 def json_artifact(spark: SparkSession, path: str, schema: str, artifact_id: str) -> DataFrame:
     """One JSON object with a fixed schema; an error if it names another artifact."""
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from itertools import combinations
 
@@ -15,8 +16,11 @@ from glossweave.operators.feedback import weak_components
 from glossweave.operators.loops import cut, is_empty
 
 
-def grounded(args: DataFrame, attacks: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``node, label``: in (all attackers out), out (an attacker in), undec. A self-attacker is never in."""
+def grounded(args: DataFrame, attacks: DataFrame, max_rounds: int = 100_000, until: float | None = None) -> DataFrame | None:
+    """``node, label``: in (all attackers out), out (an attacker in), undec. A self-attacker is never in.
+
+    None if a round is still to do when the monotonic clock passes ``until``.
+    """
     nodes, att = cut(args.select("node").distinct()), cut(induced(attacks, args).distinct())
     ins = outs = nodes.limit(0)
     live = att
@@ -25,6 +29,8 @@ def grounded(args: DataFrame, attacks: DataFrame, max_rounds: int = 100_000) ->
         new_in = cut(nodes.join(decided, "node", "left_anti").join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if is_empty(new_in):
             break
+        if until is not None and time.monotonic() > until:
+            return None
         ins = cut(ins.union(new_in))
         new_out = cut(att.join(new_in.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(outs, "node", "left_anti"))
         outs = cut(outs.union(new_out))

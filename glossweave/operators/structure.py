@@ -178,15 +178,28 @@ def condensation(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return dag, layers(dag, names, names.limit(0))
 
 
-def diagnostics(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: components, sources, sinks, the largest one's size, parallel edges into and out of it, whether it is a source or sink."""
+def diagnostics(edges: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
+    """One row: components, sources, sinks; of the largest component (ties: smaller name) its size, parallel edges into and out of it and whether it is a source or sink; the ``top`` sizes."""
     e = cut(scc_edges(edges, labels))
     sizes = labels.groupBy("scc").agg(F.count("*").alias("size"))
     into, out = e.where("s <> d").groupBy(F.col("d").alias("scc")).agg(F.count("*").alias("in_edges")), e.where("s <> d").groupBy(F.col("s").alias("scc")).agg(F.count("*").alias("out_edges"))
-    per = sizes.join(into, "scc", "left").join(out, "scc", "left").fillna(0)
-    top = per.orderBy(F.desc("size"), "scc").limit(1).select(F.struct("scc", "size", "in_edges", "out_edges").alias("big"))
+    per = cut(sizes.join(into, "scc", "left").join(out, "scc", "left").fillna(0))
+    big = per.orderBy(F.desc("size"), "scc").limit(1).select(F.struct("scc", "size", "in_edges", "out_edges").alias("big"))
+    first = per.orderBy(F.desc("size"), "scc").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(-F.col("size"))), lambda x: (-x).cast("string")), ",").alias("top_sizes"))
     agg = per.agg(F.count("*").alias("sccs"), F.sum((F.col("in_edges") == 0).cast("long")).alias("sources"), F.sum((F.col("out_edges") == 0).cast("long")).alias("sinks"))
-    return agg.crossJoin(top).select("sccs", "sources", "sinks", F.col("big.size").alias("largest"), F.col("big.in_edges").alias("largest_in"), F.col("big.out_edges").alias("largest_out"))
+    b = lambda c: F.col(f"big.{c}")
+    return agg.crossJoin(big).crossJoin(first).select("sccs", "sources", "sinks", b("size").alias("largest"), b("in_edges").alias("largest_in"), b("out_edges").alias("largest_out"), (b("in_edges") == 0).alias("largest_is_source"), (b("out_edges") == 0).alias("largest_is_sink"), "top_sizes")
+
+
+def loop_report(edges: DataFrame, top: int = 20) -> dict[str, DataFrame]:
+    """``totals(metric, value)``, ``histogram(size, n)`` of cyclic components, ``largest(scc, size)`` the top of them."""
+    e = cut(edges.select("src", "dst").distinct())
+    table = cut(scc_table(e, cut(scc(e))))
+    cyclic = table.where("is_cyclic")
+    row = table.agg(F.count("*").alias("components"), F.sum(F.col("is_cyclic").cast("long")).alias("cyclic"), F.sum(F.when(F.col("is_cyclic"), F.col("size")).otherwise(0)).alias("nodes_in_cyclic"), F.max("size").alias("largest"))
+    row = row.crossJoin(e.agg(F.sum((F.col("src") == F.col("dst")).cast("long")).alias("self_loops"))).crossJoin(two_cycles(e).agg(F.count("*").alias("two_cycles"))).crossJoin(three_cycles(e).agg(F.count("*").alias("three_cycles")))
+    totals = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for c in row.columns])).alias("x")).select("x.*")
+    return {"totals": totals, "histogram": cyclic.groupBy("size").agg(F.count("*").alias("n")), "largest": cyclic.orderBy(F.desc("size"), "scc").limit(top).select("scc", "size")}
 
 
 def analyze(edges: DataFrame, method: str = "bounded-scc", policy: str = "source-union") -> dict[str, DataFrame]:

@@ -95,7 +95,7 @@ def largest_core(spark, d):
     return structure.core_satellite(g, cut(structure.scc(g)), "largest-scc")
 
 
-@query("condensation_diagnostics", X.sql("""SELECT count(*) AS sccs, count(*) FILTER (i = 0) AS sources, count(*) FILTER (o = 0) AS sinks, arg_max(size, (size, -rk)) AS largest, arg_max(i, (size, -rk)) AS largest_in, arg_max(o, (size, -rk)) AS largest_out
+@query("condensation_diagnostics", X.sql("""SELECT count(*) AS sccs, count(*) FILTER (i = 0) AS sources, count(*) FILTER (o = 0) AS sinks, arg_max(size, (size, -rk)) AS largest, arg_max(i, (size, -rk)) AS largest_in, arg_max(o, (size, -rk)) AS largest_out, arg_max(i, (size, -rk)) = 0 AS largest_is_source, arg_max(o, (size, -rk)) = 0 AS largest_is_sink, array_to_string(list_sort(list(size), 'DESC')[:10], ',') AS top_sizes
 FROM (SELECT scc, size, coalesce(i, 0) AS i, coalesce(o, 0) AS o, row_number() OVER (ORDER BY scc) AS rk FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) LEFT JOIN (SELECT d AS scc, count(*) AS i FROM se WHERE s <> d GROUP BY 1) USING (scc) LEFT JOIN (SELECT s AS scc, count(*) AS o FROM se WHERE s <> d GROUP BY 1) USING (scc))""", X.REACH))
 def diagnostics(spark, d):
     g = cut(X.edges(spark, d))

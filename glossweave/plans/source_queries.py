@@ -14,7 +14,7 @@ from glossweave.functions import text as T
 from glossweave.operators import structure
 from glossweave.operators.loops import shared_folder
 from glossweave.plans import fixtures as X
-from glossweave.plans.graph_queries import DEG, SEED, SQL as GRAPH_SQL, USERS, layers
+from glossweave.plans.graph_queries import SQL as GRAPH_SQL, USERS, layers
 from glossweave.sources import readers, writers
 
 QUERIES, SQL = {}, {}

@@ -6,6 +6,8 @@ from collections import deque
 from collections.abc import Iterable
 from itertools import combinations
 
+import numpy as np
+
 Graph = dict[str, set[str]]
 
 
@@ -119,8 +121,90 @@ def bounded(g: Graph, passes: int = 8) -> dict:
     return {"seed": seed, "exact": False, "residual": len(cyclic_components(g))}
 
 
+#: Graphs of up to so many nodes are kept as one bit set a node, at most 50 MB.
+BITS = 20_000
+
+
+def _reach(v: int, inside: int, adjacent: list[int]) -> int:
+    """Nodes of the bit set that a path within it leads to, with the start."""
+    seen = todo = 1 << v
+    while todo and seen != inside:
+        low = todo & -todo
+        new = adjacent[low.bit_length() - 1] & inside & ~seen
+        seen |= new
+        todo = (todo ^ low) | new
+    return seen
+
+
+def _bit_components(inside: int, out: list[int], into: list[int]) -> list[int]:
+    """Strongly connected components by what one node reaches and what reaches it."""
+    found, work = [], [inside]
+    while work:
+        part = work.pop()
+        if not part:
+            continue
+        v = part.bit_length() - 1
+        ahead, behind = _reach(v, part, out), _reach(v, part, into)
+        found.append(ahead & behind)
+        work += [ahead & ~behind, behind & ~ahead, part & ~(ahead | behind)]
+    return found
+
+
 def exact_small_greedy(g: Graph, limit: int = 12) -> dict:
-    """Cyclic components of up to ``limit`` nodes are solved exactly; a larger one loses its hub and is looked at again."""
+    """Cyclic components of up to ``limit`` nodes are solved exactly; a larger one loses its hub and is looked at again.
+
+    Nodes are numbered in the order of their names. While a component stays one
+    without its hub, degrees are only counted down.
+    """
+    if len(g) > BITS:
+        return _exact_small_greedy_sets(g, limit)
+    names = sorted(g)
+    number = {v: k for k, v in enumerate(names)}
+    n, out, into = len(names), [0] * len(names), [0] * len(names)
+    loops = 0
+    for v, k in number.items():
+        for w in g[v]:
+            if w == v:
+                loops |= 1 << k
+            else:
+                out[k] |= 1 << number[w]
+                into[number[w]] |= 1 << k
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little", count=n).astype(np.int64)
+    cyclic = lambda part: part & (part - 1) or part & loops
+    seed: list[str] = []
+    exact, work = True, [p for p in _bit_components((1 << n) - 1, out, into) if cyclic(p)] if n else []
+    while work:
+        part = work.pop()
+        members = np.flatnonzero(bits(part))
+        if len(members) <= limit:
+            seed += smallest_set(graph_of([names[k] for k in members], ((names[k], w) for k in members for w in g[names[k]] if part >> number[w] & 1))) or []
+            continue
+        exact = False
+        ahead, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in members.tolist():
+            ahead[k], behind[k] = (out[k] & part).bit_count(), (into[k] & part).bit_count()
+        left = len(members)
+        while left > limit:
+            # the largest (degree, out-degree, in-degree, name)
+            score = (((ahead[members] + behind[members]) * (n + 1) + ahead[members]) * (n + 1) + behind[members]) * (n + 1) + members
+            v = int(members[score.argmax()])
+            seed.append(names[v])
+            part &= ~(1 << v)
+            members = members[members != v]
+            left -= 1
+            start = int(members[0])
+            if _reach(start, part, out) != part or _reach(start, part, into) != part:
+                work += [p for p in _bit_components(part, out, into) if cyclic(p)]
+                break
+            behind -= bits(out[v])
+            ahead -= bits(into[v])
+        else:
+            work.append(part)
+    return {"seed": seed, "exact": exact, "residual": 0}
+
+
+def _exact_small_greedy_sets(g: Graph, limit: int = 12) -> dict:
+    """The same on adjacency sets, for graphs with too many nodes for bit sets."""
     seed: list[str] = []
     exact, work = True, cyclic_components(g)
     while work:

@@ -23,15 +23,25 @@ def unfold(senses: DataFrame, edges: DataFrame, seed_ics: DataFrame) -> tuple[Da
     src = s.select(F.col("node").alias("src"), F.col("ic").alias("src_ic"), F.col("layer").alias("src_layer"))
     dst = s.where("not is_seed").select(F.col("node").alias("dst"), F.col("ic").alias("own"), "layer")
     direct = cut(edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst").where("src_ic <> own and src_layer is not null"))
-    every, seeds = cut(ends), cut(ends)
+    ends = cut(ends)
+    every, seeds = [ends], [ends]  # parts at rest: a sense's closure is written once, with its layer
     for n in sorted(r["layer"] for r in direct.select("layer").distinct().collect() if r["layer"] is not None):
         # a definer in the same layer or above has no closure yet: only its class counts
         mine = direct.where(F.col("layer") == n)
         at = mine.select("src", "dst")
-        new = mine.select(F.col("dst").alias("node"), F.col("src_ic").alias("ic")).union(at.join(every.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "ic")).distinct()
-        more = at.join(seeds.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "ic").distinct()
-        every, seeds = cut(every.union(new)), cut(seeds.union(more))
-    return every, seeds
+        through = lambda parts: at.join(_union(parts).withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "ic")
+        new = cut(mine.select(F.col("dst").alias("node"), F.col("src_ic").alias("ic")).union(through(every)).distinct())
+        more = cut(through(seeds).distinct())
+        every.append(new)
+        seeds.append(more)
+    return _union(every), _union(seeds)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def index_rows(senses: DataFrame, closure: DataFrame, seed_closure: DataFrame, max_ids: int = 500) -> DataFrame:

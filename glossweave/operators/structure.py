@@ -20,17 +20,21 @@ def all_nodes(edges: DataFrame) -> DataFrame:
 
 
 def kernel(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``node``: those that survive taking away, again and again, all without an edge to a survivor. A loop survives."""
-    left = cut(edges.select("src", "dst").distinct())
-    n = left.count()
+    """``node``: those that survive taking away, again and again, all without an edge to a survivor. A loop survives.
+
+    Each node counts its edges to survivors; a round counts down the predecessors
+    of what has just gone, so every edge is used once.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("left"))
+    state = cut(all_nodes(e).join(out, "node", "left").fillna(0, ["left"]))
     for _ in range(max_rounds):
-        alive = left.select(F.col("src").alias("dst")).distinct()
-        left = cut(left.join(alive, "dst", "left_semi").select("src", "dst"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select(F.col("src").alias("node")).distinct()
+        gone = state.where("left = 0").select(F.col("node").alias("dst"))
+        if is_empty(gone):
+            return state.select("node")
+        fewer = e.join(gone, "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+        state = cut(state.where("left > 0").join(fewer, "node", "left").select("node", (F.col("left") - F.coalesce("k", F.lit(0))).alias("left")))
+    raise RuntimeError("the kernel did not settle")
 
 
 def _one_task(edges: DataFrame) -> DataFrame:
@@ -118,19 +122,34 @@ def core_satellite(edges: DataFrame, labels: DataFrame, policy: str = "source-un
 
 
 def layers(edges: DataFrame, nodes: DataFrame, seed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``node, layer``: seeds 0; a node follows once all its other predecessors have a layer, one above the highest; behind a cycle none."""
-    known = cut(seed.select("node").distinct().withColumn("layer", F.lit(0)))
-    edges = cut(induced(edges, nodes).distinct())
+    """``node, layer``: seeds 0; a node follows once all its other predecessors have a layer, one above the highest; behind a cycle none.
+
+    Each node counts the predecessors it waits for; a round counts down the
+    successors of the layer before, so every node and edge is used once.
+    """
+    start = cut(seed.select("node").distinct())
+    e = cut(induced(edges, nodes).distinct().join(start.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"))
+    state = cut(nodes.select("node").distinct().join(start, "node", "left_anti").join(into, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("m")))
+    done = [start.withColumn("layer", F.lit(0))]
+    last = done[0]
     for _ in range(max_rounds):
-        open_ = nodes.select("node").distinct().join(known, "node", "left_anti")
-        waiting = edges.join(known.withColumnRenamed("node", "src").select("src"), "src", "left_anti").select(F.col("dst").alias("node")).distinct()
-        ready = open_.join(waiting, "node", "left_anti")
-        below = edges.join(known.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("layer").alias("m"))
-        new = cut(ready.join(below, "node", "left").select("node", (F.coalesce("m", F.lit(0)) + 1).alias("layer")))
-        if is_empty(new):
+        fewer = e.join(last.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), F.max("layer").alias("h"))
+        state = cut(state.where("left > 0" if len(done) > 1 else "true").join(fewer, "node", "left").select("node", (F.col("left") - F.coalesce("k", F.lit(0))).alias("left"), F.greatest("m", F.coalesce("h", F.lit(0))).alias("m")))
+        last = state.where("left = 0").select("node", (F.col("m") + 1).alias("layer"))
+        if is_empty(last):
             break
-        known = cut(known.union(new))
-    return known
+        done.append(last)
+        if len(done) % 32 == 0:  # a union of parts at rest, put together now and then
+            done = [cut(_together(done[:-1])), last]
+    return _together(done)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

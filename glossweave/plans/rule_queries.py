@@ -178,13 +178,14 @@ def pressure_table(spark, d):
     return pressure(spark, d).select("ic_id", "l0_candidate", "pressure_bucket")
 
 
-ROUNDS = 16
+#: A sense with more classes in its closure is marked truncated, as by the operator's default.
+ROUNDS, MAX_IDS = 16, 500
 GROUND = PRESS + DEG + SEED + _layers_sql(ROUNDS) + f""",
 sn AS MATERIALIZED (SELECT l.node, lemma AS ic, layer FROM l{ROUNDS} l JOIN f USING (node)),
 sic AS MATERIALIZED (SELECT DISTINCT ic FROM sn WHERE layer = 0),
 de AS MATERIALIZED (SELECT a.node AS src, a.ic AS sic, b.node AS dst FROM g JOIN sn a ON a.node = g.src JOIN sn b ON b.node = g.dst WHERE a.ic <> b.ic AND b.ic NOT IN (SELECT ic FROM sic)),
 cl AS MATERIALIZED (WITH RECURSIVE q AS (SELECT node, ic FROM (SELECT node, ic FROM sn WHERE ic IN (SELECT ic FROM sic) UNION SELECT dst, sic FROM de) UNION SELECT de.dst, q.ic FROM q JOIN de ON de.src = q.node) SELECT * FROM q),
-sz AS MATERIALIZED (SELECT sn.node, sn.ic, layer, coalesce(k, 0) AS closure_size, coalesce(k, 0) > 60 AS truncated FROM sn LEFT JOIN (SELECT node, count(*) AS k FROM cl GROUP BY node) USING (node)),
+sz AS MATERIALIZED (SELECT sn.node, sn.ic, layer, coalesce(k, 0) AS closure_size, coalesce(k, 0) > {MAX_IDS} AS truncated FROM sn LEFT JOIN (SELECT node, count(*) AS k FROM cl GROUP BY node) USING (node)),
 gb AS MATERIALIZED (SELECT s AS ic FROM pr WHERE l0_candidate), gr0 AS (SELECT ic FROM gb)""" + "".join(f""",
 gr{k} AS MATERIALIZED (SELECT ic FROM gr{k - 1} UNION SELECT ic FROM sz WHERE NOT truncated AND node NOT IN (SELECT dst FROM de WHERE sic NOT IN (SELECT ic FROM gr{k - 1})))""" for k in range(1, ROUNDS + 1)) + f""",
 gd AS MATERIALIZED (SELECT ic FROM gr{ROUNDS}),
@@ -205,7 +206,7 @@ class Grounding:
         self.senses = cut(layer.join(X.first_entries(spark, d).select("node", F.col("lemma").alias("ic")), "node"))
         seed_ics = cut(self.senses.where("layer = 0").select("ic").distinct())
         self.closure, self.seed_closure = ground.unfold(self.senses, g, seed_ics)
-        self.rows = cut(ground.index_rows(self.senses, self.closure, self.seed_closure, 60))
+        self.rows = cut(ground.index_rows(self.senses, self.closure, self.seed_closure, MAX_IDS))
         a, b = self.senses.select(F.col("node").alias("src"), F.col("ic").alias("ic")), self.senses.select(F.col("node"), F.col("ic").alias("own"))
         inner = g.join(a, "src").join(b.withColumnRenamed("node", "dst"), "dst").where("ic <> own").join(seed_ics.withColumnRenamed("ic", "own"), "own", "left_anti")
         self.definers = cut(inner.select(F.col("dst").alias("node"), "ic"))
@@ -289,7 +290,7 @@ def grounding_yield(spark, d):
 
 
 KR = X.NORMS + X.REACH + DEG + """,
-kr AS MATERIALIZED (SELECT deg.node AS node_id, lemma, pos, left(definition, 40) AS gloss, degree, frequency, age_of_acquisition, concreteness, CASE WHEN deg.node IN (SELECT node FROM kernel) THEN 0 ELSE 1 END AS layer FROM deg JOIN f USING (node) LEFT JOIN norms ON word = lemma)"""
+kr AS MATERIALIZED (SELECT deg.node AS node_id, lemma, pos, definition AS gloss, degree, frequency, age_of_acquisition, concreteness, CASE WHEN deg.node IN (SELECT node FROM kernel) THEN 0 ELSE 1 END AS layer FROM deg JOIN f USING (node) LEFT JOIN norms ON word = lemma)"""
 
 
 def rows_of(spark, d):
@@ -297,7 +298,7 @@ def rows_of(spark, d):
     g = cut(X.edges(spark, d))
     k = structure.kernel(g).withColumn("k", F.lit(True))
     m = structure.all_nodes(g).join(k, "node", "left").select("node", F.when(F.col("k"), 0).otherwise(1).alias("layer"), F.coalesce("k", F.lit(False)).alias("is_seed"), F.coalesce("k", F.lit(False)).alias("is_core"))
-    nodes = X.first_entries(spark, d).select("node", F.left("definition", F.lit(40)).alias("gloss"))
+    nodes = X.first_entries(spark, d).select("node", F.col("definition").alias("gloss"))
     return g, cut(export.kernel_rows(m, nodes, g, X.norms(spark, d)))
 
 

@@ -186,3 +186,14 @@ def test_cli_and_stream(spark, tmp_path):
     q = ingest.keep_edges(ingest.entries(spark, str(tmp_path / "in")), str(tmp_path / "edges"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert ("cat", "kitten::n") in {(r.src, r.dst) for r in spark.read.parquet(str(tmp_path / "edges")).collect()}
+
+
+def test_closures_beyond_the_most_ids_are_truncated(spark):
+    senses = spark.createDataFrame([(f"n{k}", f"c{k}", 0 if k else 1) for k in range(5)], "node string, ic string, layer int")
+    edges = spark.createDataFrame([(f"n{k}", "n0") for k in range(1, 5)], "src string, dst string")
+    seeds = senses.where("layer = 0").select("ic")
+    closure, seed_closure = ground.unfold(senses, edges, seeds)
+    for most, cut_off in ((3, True), (4, False), (500, False)):
+        rows = {r.node: r for r in ground.index_rows(senses, closure, seed_closure, most).collect()}
+        assert rows["n0"].closure_size == 4 and rows["n0"].closure_truncated == cut_off and len(rows["n0"].closure_ids) == min(most, 4)
+        assert not rows["n1"].closure_truncated and rows["n1"].closure_size == 1

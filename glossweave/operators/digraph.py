@@ -121,6 +121,51 @@ def bounded(g: Graph, passes: int = 8) -> dict:
     return {"seed": seed, "exact": False, "residual": len(cyclic_components(g))}
 
 
+class Arrows:
+    """Edges between numbered nodes, by their start."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.n, self.to = n, dst[order]
+        self.count = np.bincount(src, minlength=n)
+        self.first = np.cumsum(self.count) - self.count
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the edges of some nodes lead, and the place of each edge's start among the nodes."""
+        k = self.count[nodes]
+        at = np.repeat(self.first[nodes] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        return self.to[at], np.repeat(np.arange(len(nodes)), k)
+
+
+def surviving(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Nodes that are left when those without an edge to one that is left are taken away, again and again."""
+    back, left = Arrows(n, dst, src), np.bincount(src, minlength=n)
+    gone = np.flatnonzero(left == 0)
+    alive = left > 0
+    while len(gone):
+        np.subtract.at(left, back.of(gone)[0], 1)
+        gone = np.flatnonzero(alive & (left == 0))
+        alive[gone] = False
+    return alive
+
+
+def layered(n: int, src: np.ndarray, dst: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """0 for seeds; for a node, once all its predecessors have one, a layer above the highest (1 without any); -1 for those behind a cycle."""
+    kept = ~seed[dst]
+    src, dst = src[kept], dst[kept]
+    out, left = Arrows(n, src, dst), np.bincount(dst, minlength=n)
+    layer, high = np.where(seed, 0, -1), np.zeros(n, np.int64)
+    new = np.flatnonzero(seed)
+    while True:
+        to, which = out.of(new)
+        np.subtract.at(left, to, 1)
+        np.maximum.at(high, to, layer[new][which])
+        new = np.flatnonzero((layer < 0) & (left == 0))
+        if not len(new):
+            return layer
+        layer[new] = high[new] + 1
+
+
 #: Graphs of up to so many nodes are kept as one bit set a node, at most 50 MB.
 BITS = 20_000
 

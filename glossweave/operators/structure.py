@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from glossweave.operators import digraph
 from glossweave.operators.build import induced, transpose
 from glossweave.operators.loops import cut, is_empty
 
-#: Up to so many edges, components are found in one task; beyond, by rounds over the cluster.
+#: Up to so many edges, components, kernels and layers are found in one task; beyond, by rounds over the cluster.
 ONE_TASK_EDGES = 1_000_000
 
 
@@ -19,13 +20,21 @@ def all_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def kernel(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def kernel(edges: DataFrame, max_rounds: int = 10_000, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``node``: those that survive taking away, again and again, all without an edge to a survivor. A loop survives.
 
     Each node counts its edges to survivors; a round counts down the predecessors
-    of what has just gone, so every edge is used once.
+    of what has just gone, so every edge is used once. Up to ``one_task_edges`` edges
+    the rounds are those of one task.
     """
     e = cut(edges.select("src", "dst").distinct())
+    if e.count() <= one_task_edges:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            at, names = pd.factorize(pd.concat([pdf.src, pdf.dst]))
+            return pd.DataFrame({"node": names[digraph.surviving(len(names), at[: len(pdf)], at[len(pdf) :])]})
+
+        return _alone(e).applyInPandas(run, "node string")
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("left"))
     state = cut(all_nodes(e).join(out, "node", "left").fillna(0, ["left"]))
     for _ in range(max_rounds):
@@ -37,12 +46,17 @@ def kernel(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("the kernel did not settle")
 
 
+def _alone(rows: DataFrame):
+    """All rows as one group."""
+    return rows.withColumn("g", F.length(F.lit("g"))).groupBy("g")
+
+
 def _one_task(edges: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = digraph.graph_of({*pdf.src, *pdf.dst}, zip(pdf.src, pdf.dst))
         return pd.DataFrame([(v, p[0]) for p in digraph.components(g) for v in p], columns=["node", "scc"])
 
-    return edges.withColumn("g", F.length(F.lit("g"))).groupBy("g").applyInPandas(run, "node string, scc string")
+    return _alone(edges).applyInPandas(run, "node string, scc string")
 
 
 def _spread(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -121,14 +135,30 @@ def core_satellite(edges: DataFrame, labels: DataFrame, policy: str = "source-un
     return labels.join(core.withColumn("c", F.lit(True)), "scc", "left").select("node", F.coalesce("c", F.lit(False)).alias("is_core"))
 
 
-def layers(edges: DataFrame, nodes: DataFrame, seed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame, seed: DataFrame, max_rounds: int = 10_000, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``node, layer``: seeds 0; a node follows once all its other predecessors have a layer, one above the highest; behind a cycle none.
 
     Each node counts the predecessors it waits for; a round counts down the
-    successors of the layer before, so every node and edge is used once.
+    successors of the layer before, so every node and edge is used once. Up to
+    ``one_task_edges`` edges and nodes the rounds are those of one task.
     """
     start = cut(seed.select("node").distinct())
-    e = cut(induced(edges, nodes).distinct().join(start.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    e = cut(induced(edges, nodes).distinct().join(start.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    # edges, nodes (without an end) and seeds (as loops)
+    marked = e.withColumn("seed", F.lit(False)).union(nodes.select("node", F.lit(None).cast("string"), F.lit(False)).distinct()).union(start.select("node", "node", F.lit(True)))
+    if marked.limit(one_task_edges + 1).count() <= one_task_edges:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            at, names = pd.factorize(pd.concat([pdf.src, pdf.dst]))
+            src, dst = at[: len(pdf)], at[len(pdf) :]
+            seeds = np.zeros(len(names), bool)
+            own = pdf.seed.to_numpy()
+            seeds[src[own]] = True
+            edge = (dst >= 0) & ~own
+            found = digraph.layered(len(names), src[edge], dst[edge], seeds)
+            return pd.DataFrame({"node": names[found >= 0], "layer": found[found >= 0].astype("int32")})
+
+        return _alone(marked).applyInPandas(run, "node string, layer int")
     into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"))
     state = cut(nodes.select("node").distinct().join(start, "node", "left_anti").join(into, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("m")))
     done = [start.withColumn("layer", F.lit(0))]

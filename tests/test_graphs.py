@@ -176,3 +176,24 @@ def test_rivals_and_projection(spark):
     assert {(r.src, r.dst) for r in build.project(pairs, ic).collect()} == {("A", "B"), ("B", "A")}
     assert structure.degree_stats(structure.degrees(pairs)).first().nodes == 3
     assert structure.all_nodes(pairs).where(F.col("node") == "s1").count() == 1
+
+
+def test_kernel_and_layers_in_one_task_and_in_rounds(spark):
+    rng = random.Random(17)
+    for k in range(6):
+        names = [f"n{j}" for j in range(30)]
+        rows = {(rng.choice(names), rng.choice(names)) for _ in range(12 + 8 * k)}
+        edges = spark.createDataFrame(sorted(rows), "src string, dst string")
+        both = [sorted(r.node for r in structure.kernel(edges, one_task_edges=n).collect()) for n in (0, 10**6)]
+        assert both[0] == both[1]
+        alive = set(names)
+        while (kept := {a for a, b in rows if a in alive and b in alive}) != alive:
+            alive = kept
+        assert both[0] == sorted(alive)
+        seed = spark.createDataFrame([(v,) for v in rng.sample(names, 8)] + [("outside",)], "node string")
+        nodes = structure.all_nodes(edges)
+        one, many = (sorted(map(tuple, structure.layers(edges, nodes, seed, one_task_edges=n).collect())) for n in (10**6, 0))
+        assert one == many and len(one) > 8
+    empty = spark.createDataFrame([], "src string, dst string")
+    assert structure.kernel(empty).count() == structure.kernel(empty, one_task_edges=-1).count() == 0
+    assert structure.layers(empty, structure.all_nodes(empty), empty.select("src").toDF("node")).count() == 0

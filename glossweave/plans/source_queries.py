@@ -275,3 +275,19 @@ def sink_summary(spark, d):
 def sink_progress(spark, d):
     _, e = X.user_attacks(spark, d)
     return writers.progress(structure.analyze(e, "exact-small-greedy")).where(F.col("step").isin("kernel", "scc", "edges", "membership"))
+
+
+@query("cli_summary", f"""{SMALL}, v AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT lower(translate(r_name, '0123456789_ ', 'abcdefghijkk')) FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT lower(translate(n_name, '0123456789_ ', 'abcdefghijkk')) FROM nation)) AS nodes, (SELECT count(*) FROM nation) AS edges)
+SELECT unnest(['nodes', 'edges', 'kernel', 'seed']) AS metric, unnest([nodes, edges, 0, 0])::DOUBLE AS value FROM v""")
+def cli_summary(spark, d):
+    """A run over a lexicon of nations that are defined by their regions: no cycle, so no kernel."""
+    from glossweave import cli
+
+    letters = lambda c: F.lower(F.translate(F.col(c), "0123456789_ ", "abcdefghijkk"))
+    n = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.select(F.col("n_nationkey").cast("long").alias("ord"), letters("n_name").alias("lemma"), F.lit("n").alias("pos"), letters("r_name").alias("definition"))
+    rows = rows.union(n.select((F.col("r_regionkey") + 100).cast("long"), letters("r_name"), F.lit("n"), F.lit("zzz")).distinct())
+    folder = shared_folder(spark)
+    rows.write.parquet(f"{folder}/entries")
+    cli.Run(f"{folder}/entries", f"{folder}/out", keep=("summary",)).go(spark)
+    return spark.read.schema("metric string, value double").json(f"{folder}/out/summary").where(F.col("metric").isin("nodes", "edges", "kernel", "seed"))

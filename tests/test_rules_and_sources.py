@@ -197,3 +197,22 @@ def test_closures_beyond_the_most_ids_are_truncated(spark):
         rows = {r.node: r for r in ground.index_rows(senses, closure, seed_closure, most).collect()}
         assert rows["n0"].closure_size == 4 and rows["n0"].closure_truncated == cut_off and len(rows["n0"].closure_ids) == min(most, 4)
         assert not rows["n1"].closure_truncated and rows["n1"].closure_size == 1
+
+
+def test_cli_outputs(spark, tmp_path):
+    rows = [{"word": w, "pos": "noun", "lang_code": "en", "senses": [{"glosses": [g]}]} for w, g in (("cat", "small dog animal"), ("dog", "large cat animal"), ("animal", "living being"), ("kitten", "young cat"))]
+    (tmp_path / "dump.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "a.csv").write_text("Word,Frequency\ncat,1\ndog,2\n")
+    (tmp_path / "b.csv").write_text("lemma,frequency\ndog,4\n")
+    out = tmp_path / "out"
+    keep = [x for name in cli.OUTPUTS for x in ("--keep", name)]
+    cli.main([str(tmp_path / "dump.jsonl"), str(out), "--lexicon", "jsonl", "--seed-method", "exact-small-greedy", "--norms", str(tmp_path / "a.csv"), "--norms", str(tmp_path / "b.csv"), "--top", "2", *keep])
+    read = lambda name: spark.read.json(str(out / name)).collect()
+    assert {r.metric: r.value for r in read("loops")}["two_cycles"] == 1
+    assert len(read("degrees")) == 2
+    assert [(r.field, r.covered, r.total) for r in read("coverage")] == [("frequency", 2, 4)]
+    assert {r.component: (r.n, r["mean"]) for r in read("components")}["kernel"] == (2, 2.5)
+    text = "\n".join(r.value for r in spark.read.text(str(out / "report")).collect())
+    assert text.startswith("# paper graph") and "## coverage" in text and "## layers" in text
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["x", "y", "--keep", "nothing"])

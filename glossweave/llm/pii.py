@@ -6,9 +6,14 @@ kept out of the fit, selects what is redacted. Spans of the base patterns are
 personal data by definition: they always stay, and what overlaps one is not
 proposed again.
 
-The trees are fitted here, to examples made by ``examples`` (a fixed number, from
-a seed): each is a number or address format in a line of words, some of them
+The trees are fitted here, to two kinds of examples. ``examples`` makes a fixed
+number from a seed: a number or address format in a line of words, some of them
 personal data and some look-alikes (dates, versions, amounts, identifiers).
+``harvest`` takes them from the texts themselves: a base span in its own
+surroundings, written so that the base patterns miss it, is personal data; what
+looks like a base span but fails its test (a check digit, a number of digits, a
+part over 255) or is a date is not. ``learn`` fits to both, with at most
+``MOST_EXAMPLES`` of the latter, and sets thresholds on what is kept out of the fit.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents
+from ._shared import documents, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: As a match takes whole runs of digits, none starts within one: said so, long runs are read once.
@@ -230,6 +235,60 @@ def examples(n: int = 3000, seed: int = 42) -> list[tuple[str, Span, int]]:
     return out
 
 
+#: Examples taken from texts, at most: those with the smallest hash of their surroundings.
+MOST_EXAMPLES = 4_000
+AROUND = 60
+
+
+def _at(text: str, kind: str, near: int) -> Span | None:
+    """What the generators propose of a kind at a place."""
+    return next((s for s in propose(text) if s[0] == kind and s[1] <= near < s[2]), None)
+
+
+def harvest(text: str | None) -> list[tuple[str, Span, int]]:
+    """(surroundings, span, personal or not) out of one text."""
+    text, out = text or "", []
+    if not DIGIT.search(text) and "@" not in text:
+        return out
+    base = base_spans(text)
+    taken = {(a, b) for _, a, b in base}
+    for kind, a, b in base:
+        before, own, after = text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]
+        turn = sum(map(ord, own)) % 3  # a matter of the span, so that reruns agree
+        if kind == "email":
+            own = own.replace("@", (" (at) ", " [at] ", "{at}")[turn], 1)
+        elif kind == "card":
+            d = _digits(own)
+            own = "./_"[turn].join(d[k : k + 4] for k in range(0, len(d), 4))
+        elif kind == "phone":
+            own = "00" + own[1:].lstrip()
+        near = before + own + after
+        if kind != "ip" and (s := _at(near, kind, len(before))):
+            out.append((near, s, 1))
+    for kind, pattern in (("card", CARD), ("phone", PHONE)):
+        for m in pattern.finditer(text):
+            if (m.start(), m.end()) not in taken and 7 <= len(_digits(m[0])) <= 24:
+                near = text[max(0, m.start() - AROUND) : m.end() + AROUND]
+                s = _at(near, kind, min(m.start(), AROUND)) or _at(near, "phone", min(m.start(), AROUND))
+                if s:
+                    out.append((near, s, 0))
+    return out
+
+
+def learn(docs: DataFrame, most: int = MOST_EXAMPLES) -> Judge:
+    """A judge fitted to made examples and to at most ``most`` of those that ``docs(text)`` hold; only their surroundings come to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [(near, k, a, b, y) for t in batch.column(0).to_pylist() for near, (k, a, b), y in harvest(t)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["near", "kind", "a", "b", "y"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "near string, kind string, a int, b int, y int")
+    rows = found.orderBy(F.xxhash64("near"), "near", "kind", "a", "y").limit(most).collect()
+    return _fitted(examples() + [(r["near"], (r["kind"], r["a"], r["b"]), r["y"]) for r in rows])
+
+
 @dataclass
 class Judge:
     trees: Trees
@@ -238,8 +297,12 @@ class Judge:
 
 @functools.cache
 def train(n: int = 3000, seed: int = 42, precision: float = 0.99) -> Judge:
+    """A judge fitted to made examples alone."""
+    return _fitted(examples(n, seed), precision)
+
+
+def _fitted(made: list[tuple[str, Span, int]], precision: float = 0.99) -> Judge:
     """Fit on two thirds, calibrate (Platt) on the rest; a kind's threshold is the least with the wanted precision there, and 0.5 at least."""
-    made = examples(n, seed)
     x, y = np.array([features(t, s) for t, s, _ in made]), np.array([float(v) for *_, v in made])
     out = np.arange(len(y)) % 3 == 2
     trees = Trees.fit(x[~out], y[~out])
@@ -334,7 +397,8 @@ def redact(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans counted by kind and digested, and all spans, of every row of documents; the spans are those of ``detect``."""
-    found = detect(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    found = detect(docs, learn(docs))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
     place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
     before = lambda x, y: F.when(x["first"] != y["first"], x["first"] - y["first"]).otherwise(place(x) - place(y)).cast("int")

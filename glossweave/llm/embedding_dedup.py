@@ -261,3 +261,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
 def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all rows of embeddings at cosine 0.98, by ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, then what links reach.
+OP8_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+q AS (SELECT x, y FROM p UNION SELECT q.x, p.y FROM q JOIN p ON p.x = q.y)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM p GROUP BY x) USING (vec_id) LEFT JOIN (SELECT x AS vec_id, min(y) AS low FROM q GROUP BY x) USING (vec_id)
+"""

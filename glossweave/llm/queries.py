@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .ann import op4_ivfpq
 from .bpe import op6_bpe
-from .embedding_dedup import op8_epsilon_grid
+from .embedding_dedup import OP8_SQL, op8_epsilon_grid
 from .line_dedup import op5_line_chunks
 from .mixing import op10_mixing
 from .pii import op9_pii
 from .simhash import op1_simhash
-from .suffix_dedup import op3_suffix
+from .suffix_dedup import OP3_SQL, op3_suffix
 from .toxicity import op2_toxicity
 from .warc import OP7_SQL, op7_revisits
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_revisits": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix": OP3_SQL, "op7_revisits": OP7_SQL, "op8_epsilon_grid": OP8_SQL}

@@ -10,7 +10,7 @@ Which positions can share a bucket is settled first, so that not every position
 the corpus is sorted together. Each window of ``length`` bytes is assigned to its
 smallest q-gram by hash (q = length / 4), a matter of its content alone; successive
 windows of one q-gram make a context. Equal windows are in contexts of equal
-q-grams: the initial buckets. Those with one context only hold nothing repeated.
+q-grams: the initial buckets. Those with one gram only hold nothing repeated.
 The bytes of the others travel once a task and distinct context, equal contexts are
 merged by their bytes, and what is left in a bucket is refined on its suffixes.
 Hashes only deal out work: a byte goes only if bytes were compared.
@@ -65,16 +65,21 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, q: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, gram position, first window, last window): each window of ``length`` bytes with its leftmost smallest q-gram.
+    """(gram hash, gram position, first window, last window): each window of ``length`` bytes with its leftmost smallest q-gram."""
+    return contexts_of(data, length, q or length // 2)[:4]
+
+
+def contexts_of(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors``, and whether the windows have several grams.
 
     Successive windows whose grams have one hash are put together, as many as a
     single gram can have, so a run of one character has few contexts. The
-    position is that of the first window's gram.
+    position is that of the first window's gram. Equal windows have their gram at
+    the same place, so only a context of several grams can hold a window twice.
     """
-    q = q or length // 2
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none.astype(bool)
     found, step = [], (1 << _BITS) - 2 * length
     grams = length - q + 1
     for start in range(0, len(data) - length + 1, step):
@@ -93,7 +98,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int | None = None) -> tup
         since = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
         cut = np.flatnonzero(since % grams == 0)
         first, last = cut, np.r_[cut[1:] - 1, len(at) - 1]
-        found.append((g[cut], at[cut] + start, first + start, last + start))
+        found.append((g[cut], at[cut] + start, first + start, last + start, at[first] != at[last]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -182,13 +187,13 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, sizes: np
     return out
 
 
-def _pos(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A context's first window, and the number of windows after it in 16 bits."""
-    return (first << 16) | (last - first)
+def _pos(first: np.ndarray, last: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """A context's first window, a bit for several grams, and the number of windows after it in 16 bits."""
+    return (first << 17) | (several.astype(np.int64) << 16) | (last - first)
 
 
 def _place(pos: int) -> tuple[int, int]:
-    return pos >> 16, (pos >> 16) + (pos & 0xFFFF)
+    return pos >> 17, (pos >> 17) + (pos & 0xFFFF)
 
 
 _LISTED = "k1 long, k2 long, pos long, g long, c long"
@@ -211,11 +216,11 @@ def _listed(docs: DataFrame, length: int, q: int) -> DataFrame:
                 if not text.is_valid or len(raw := text.as_buffer()) < length:
                     continue
                 view = memoryview(raw)
-                g, _, first, last = anchors(np.frombuffer(raw, np.uint8), length, q)
+                g, _, first, last, several = contexts_of(np.frombuffer(raw, np.uint8), length, q)
                 c = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64, len(g))
                 for a in range(0, len(g), 100_000):
                     b = min(len(g), a + 100_000)
-                    out.append([_pos(first[a:b], last[a:b]), g[a:b].view(np.int64), c[a:b].view(np.int64)])
+                    out.append([_pos(first[a:b], last[a:b], several[a:b]), g[a:b].view(np.int64), c[a:b].view(np.int64)])
                     src.append((i, b - a))
                     rows += b - a
                     if rows > 100_000:
@@ -310,11 +315,10 @@ def _refined(contexts: DataFrame, length: int, at_once: int = 1 << 17) -> DataFr
         sizes = np.array([len(r[3]) for r in held])
         n = sizes - length + 1
         bucket, count = np.array([r[0] for r in held]), np.array([r[2] for r in held])
-        _, inverse, members = np.unique(bucket, return_inverse=True, return_counts=True)
-        once = np.bincount(inverse, count == 1, len(members))[inverse] == 0
-        alone = (members[inverse] == 1) | once  # a bucket whose contexts have all been met as a whole, or with one context
-        out += [(r[0], r[1], 0, int(w) - 1) for r, w, x in zip(held, n, alone) if x and r[2] > 1]
-        some = np.flatnonzero(~alone)
+        _, inverse = np.unique(bucket, return_inverse=True)
+        whole = np.bincount(inverse, count == 1)[inverse] == 0  # each of the bucket's contexts has been met twice, byte by byte
+        out += [(r[0], r[1], 0, int(w) - 1) for r, w, x in zip(held, n, whole) if x]
+        some = np.flatnonzero(~whole)
         if len(some):
             sizes, n = sizes[some], n[some]
             data = np.frombuffer(b"".join(held[k][3] for k in some), np.uint8)
@@ -355,7 +359,8 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         raise ValueError("strings of more than 65,536 bytes are not supported")
     dealt = lambda places: docs.join(places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "g", "c")).alias("need")), list(KEY), "left").select(*KEY, "doc_id", "text", "need")
     each = scratch.table(_listed(docs, length, max(1, length // 4)), "contexts")
-    buckets = each.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("several")).where("n > 1")
+    grams = F.sum(1 + F.shiftright("pos", 16).bitwiseAND(F.lit(1)))  # a context of several counts as two
+    buckets = each.groupBy("g").agg(grams.alias("n"), (F.min("c") < F.max("c")).alias("several")).where("n > 1")
     places = scratch.table(each.join(buckets.select("g", (F.col("several") & (F.col("n") > hot)).alias("hot")), "g").select(*KEY, "pos", "g", "c", "hot"), "places")
     scratch.drop(each)
     del each, buckets
@@ -368,13 +373,13 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         left = left.groupBy(*KEY, "g", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
         # as many windows together as a context may have
         left = left.withColumn("first", F.explode(F.sequence("first", "last", F.lit(length)))).withColumn("last", F.least("last", F.col("first") + length - 1))
-        left = left.select(*KEY, (F.shiftleft("first", 16) + F.col("last") - F.col("first")).alias("pos"), "g", F.lit(0).cast("long").alias("c"))
+        left = left.select(*KEY, (F.shiftleft("first", 17) + F.col("last") - F.col("first")).alias("pos"), "g", F.lit(0).cast("long").alias("c"))
         runs = scratch.table(_hashed(dealt(left), length), "runs")
         scratch.drop(windows)
         places = places.where("not hot").drop("hot").unionByName(runs)
     # both joins read the documents by the same exchange
     found = _refined(_contexts(dealt(places), length), length)
-    spans = places.join(found, ["g", "c"]).select(*KEY, (F.shiftright("pos", 16) + F.col("first")).alias("first"), (F.shiftright("pos", 16) + F.col("last") + length).alias("last"))
+    spans = places.join(found, ["g", "c"]).select(*KEY, (F.shiftright("pos", 17) + F.col("first")).alias("first"), (F.shiftright("pos", 17) + F.col("last") + length).alias("last"))
     spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return docs.join(spans, list(KEY), "left")
 
@@ -424,3 +429,17 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
     return out.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 200 bytes of every text, in hexadecimal so that positions are bytes.
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d)),
+again AS MATERIALIZED (SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+runs AS MATERIALIZED (SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, count(*) FILTER (prev IS NULL OR p > prev + 200) OVER (PARTITION BY r ORDER BY p) AS g
+  FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM again)) GROUP BY r, g),
+parts AS (SELECT r, sum(b - a) AS gone, count(*) AS n, max(b) AS last, string_agg(piece, '' ORDER BY a) AS kept
+  FROM (SELECT runs.*, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS piece FROM runs JOIN d USING (r)) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (r)
+"""

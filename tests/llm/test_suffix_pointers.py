@@ -49,3 +49,17 @@ def test_a_passage_in_many_documents_and_a_long_text(spark, hot):
 def test_strings_too_long(spark):
     with pytest.raises(ValueError, match="65,536"):
         remove_repeated(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=70_000)
+
+
+def test_periodic_texts_repeat_within_themselves(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = [(k, noise(40) + noise(k) * 60 + noise(30)) for k in (1, 2, 5, 7, 12, 31, 99)] + [(200, noise(150) * 2 + noise(100)), (201, "ab" * 101), (202, "c" * 200), (203, "d" * 201)]
+    got = {r.doc_id: [(s.first, s["last"]) for s in r.spans] for r in remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        seen = {}
+        for p in range(len(text) - 199):
+            seen.setdefault(text[p : p + 200], []).append(p)
+        gone = sorted({x for at in seen.values() if len(at) > 1 for p in at for x in range(p, p + 200)})
+        want = [] if not gone else [(x[0], x[-1] + 1) for x in np.split(gone, np.flatnonzero(np.diff(gone) != 1) + 1)]
+        assert got[k] == want, k

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, smallest
 from .embedding_dedup import plain, usable
 
 #: Vectors that the index is fitted to: at least (if there are as many) and at most.
@@ -129,7 +129,7 @@ def fit(x: np.ndarray, n_rows: int, parts: int = 16, k: int = 10, aim: float = 0
 def train(vectors: DataFrame, dim: int, rows: int) -> Index:
     """From ``vectors(vec_id, v)``: a bounded sample of the ``rows`` that have ``dim`` components."""
     size = max(SAMPLE_ROWS, min(MOST_ROWS, 32 * n_lists(rows)))
-    sample = vectors.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").toArrow()
+    sample = smallest(vectors.where(F.size("v") == dim), F.xxhash64("vec_id"), ["vec_id"], size, rows)
     return fit(np.asarray(sample["v"].combine_chunks().flatten(), np.float64).reshape(-1, dim), rows)
 
 

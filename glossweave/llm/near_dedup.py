@@ -1,14 +1,19 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, 0.8 and more.
 
-Candidates come from MinHash bands (Broder 1997): 40 bands of 5 minima, which a
-pair at 0.8 misses altogether with probability (1 - 0.8^5)^40, about 1e-7. Each
-link is then confirmed on the whole shingle sets, so nothing below 0.8 is linked.
-SimHash does not carry this threshold: at 0.8 its 64-bit fingerprints differ in
-5 to 10 bits and more, where keys on so few bits hardly select.
+First SimHash with pigeonring filtering, as in ``simhash``, over the distinct
+five-word shingles: classes whose 64-bit fingerprints differ in at most ``TAU`` bits,
+directly or by way of others, make a group, and the whole shingle sets decide
+within it. At 0.8 fingerprints differ in some 10 bits, where keys on so few bits
+hardly select; so fingerprints find most of the close copies and few pairs near 0.8.
+For what lies beyond their radius, and for groups too large for one task, MinHash
+bands follow (Broder 1997): 40 bands of 5 minima, which a pair at 0.8 misses
+altogether with probability (1 - 0.8^5)^40, about 1e-7. What the fingerprints have
+joined already is not searched again. Each link of either step is confirmed on the
+whole shingle sets, so nothing below 0.8 is linked.
 
 Work is on classes of equal shingle sets, so groups of copies count once, and on
 ids and hashes; texts are read again only to confirm candidates and to return what
-stays. Classes that share a band make a candidate component. One of at most
+stays. Classes not yet joined that share a band make a candidate component. One of at most
 ``tile`` classes and ``most`` shingles is searched in one task, each of its sets
 sent once; a larger one is searched band by band, and a large band by pairs of
 tiles. A search goes breadth first over an index of set prefixes (two sets at 0.8
@@ -27,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._shared import Scratch, doc_key, slices
 from .components import Forest, connected_components
 
 WIDTH = 5
+#: Bits in which the fingerprints of a group's neighbours differ at most; index keys are 16 bits then.
+TAU = 6
 BANDS, ROWS = 40, 5
 _RNG = np.random.default_rng(42)
 _A, _B, _C = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -50,6 +58,11 @@ def shingles(data: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarr
     return np.unique(np.fromiter((digest(text[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, len(starts)))
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a shingle set: a bit is 1 if it is set in over half of its hashes."""
+    return simhash.majority(s.astype(">u8").view(np.uint8))
+
+
 def bands(s: np.ndarray) -> np.ndarray:
     """The band keys of a shingle set; none for the empty one."""
     if not len(s):
@@ -66,7 +79,7 @@ def similar(a: int, b: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _marked(keyed: DataFrame) -> DataFrame:
-    """``k1, k2, k3, doc_id, head, s1, s2, n, bands`` of ``keyed(k1, k2, k3, doc_id, head, text)``: s1 and s2 name the shingle set (0 for the empty one), n is its size."""
+    """``k1, k2, k3, doc_id, head, s1, s2, n, fp, bands`` of ``keyed(k1, k2, k3, doc_id, head, text)``: s1 and s2 name the shingle set (0 for the empty one), n is its size, fp its fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -74,10 +87,10 @@ def _marked(keyed: DataFrame) -> DataFrame:
             names = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 1 << 63 for s in sets]
             keys = [bands(s) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-            more = [[(x >> 64) - (1 << 63) if x >> 64 else 0 for x in names], [(x & ((1 << 64) - 1)) - (1 << 63) for x in names], [len(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(x, pa.int64()) for x in more], lists], ["k1", "k2", "k3", "doc_id", "head", "s1", "s2", "n", "bands"])
+            more = [[(x >> 64) - (1 << 63) if x >> 64 else 0 for x in names], [(x & ((1 << 64) - 1)) - (1 << 63) for x in names], [len(s) for s in sets], [fingerprint(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(x, pa.int64()) for x in more], lists], ["k1", "k2", "k3", "doc_id", "head", "s1", "s2", "n", "fp", "bands"])
 
-    return keyed.select("k1", "k2", "k3", "doc_id", "head", "text").mapInArrow(run, "k1 long, k2 long, k3 long, doc_id long, head string, s1 long, s2 long, n long, bands array<long>")
+    return keyed.select("k1", "k2", "k3", "doc_id", "head", "text").mapInArrow(run, "k1 long, k2 long, k3 long, doc_id long, head string, s1 long, s2 long, n long, fp long, bands array<long>")
 
 
 def _sets(chosen: DataFrame) -> DataFrame:
@@ -150,8 +163,29 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, tile: int = 2_000, most: int = 1 << 20) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the similar nodes of ``classes(node, k1, k2, n, bands)``, whose texts are in ``texts(k1, k2, text)``."""
+def _confirmed(dealt: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """A spanning forest ``(a, b)`` of what is similar among the nodes of each part of ``dealt(part, node)``, on whole sets."""
+    chosen = classes.join(dealt.select("node").distinct().hint("merge"), "node", "left_semi").select("k1", "k2", "node")
+    sets = scratch.table(_sets(texts.join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["node"])), "sets")
+    return dealt.join(sets.hint("merge"), "node").select("part", "node", "shingles").repartition("part").sortWithinPartitions("part").mapInArrow(_search, "a long, b long")
+
+
+def close(classes: DataFrame, texts: DataFrame, scratch: Scratch, tile: int = 2_000, most: int = 1 << 20, tau: int = TAU) -> DataFrame:
+    """A spanning forest ``(a, b)`` of the similar nodes of ``classes(node, k1, k2, n, fp)`` within each group of fingerprints linked at ``tau`` bits.
+
+    Groups of over ``tile`` classes or ``most`` shingles are left to ``links``.
+    """
+    filled = classes.where("n > 0").select("fp", "node", "n")
+    near = simhash.links(filled.select("fp").distinct(), scratch, tau, small=512)
+    roots = scratch.table(connected_components(scratch.table(near, "bits"), scratch).withColumnRenamed("node", "fp"), "fps")
+    grouped = filled.join(roots.hint("merge"), "fp", "left").select(F.coalesce("root", "fp").alias("part"), "node", "n")
+    some = grouped.groupBy("part").agg(F.count("*").alias("all"), F.sum("n").alias("all_shingles")).where((F.col("all") > 1) & (F.col("all") <= tile) & (F.col("all_shingles") <= most))
+    dealt = scratch.table(grouped.join(some.select("part").hint("merge"), "part").select("part", "node"), "groups")
+    return _confirmed(dealt, classes, texts, scratch)
+
+
+def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, known: DataFrame, tile: int = 2_000, most: int = 1 << 20) -> DataFrame:
+    """What joins the similar nodes of ``classes(node, k1, k2, n, bands)`` beside ``known(node, root)``, as links ``(a, b)``; their texts are in ``texts(k1, k2, text)``."""
     keys = scratch.table(classes.select(F.explode("bands").alias("key"), "node", "n"), "keys")
     alike = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("node").alias("low")).where("members > 1")
     met = scratch.table(keys.join(alike.hint("merge"), "key"), "met")
@@ -160,17 +194,15 @@ def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, tile: int = 2_
     scratch.sweep()
     near = scratch.table(connected_components(met.select(F.col("node").alias("a"), F.col("low").alias("b")), scratch), "near")
     met = met.join(near.hint("merge"), "node")
-    sizes = near.join(classes.select("node", "n").hint("merge"), "node").groupBy("root").agg(F.count("*").alias("all"), F.sum("n").alias("all_shingles"))
+    own = near.join(known.withColumnRenamed("root", "own").hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    sizes = own.join(classes.select("node", "n").hint("merge"), "node").groupBy("root").agg(F.count("*").alias("all"), F.sum("n").alias("all_shingles"), (F.min("own") < F.max("own")).alias("open"))
     small = (F.col("all") <= tile) & (F.col("all_shingles") <= most)
-    sizes = scratch.table(sizes.select("root", small.alias("small")), "sizes")
+    sizes = scratch.table(sizes.where("open").select("root", small.alias("small")), "sizes")
     together = near.join(sizes.where("small").hint("merge"), "root").select(F.xxhash64("root").alias("part"), "node")
     apart = met.join(sizes.where("not small").hint("merge"), "root")
     apart = apart.withColumn("tiles", F.greatest(F.ceil(F.col("members") / tile), F.ceil(F.col("shingles") / most)).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     apart = apart.select("node", "key", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("part"), "node")
-    dealt = scratch.table(together.unionByName(apart), "dealt")
-    chosen = classes.join(dealt.select("node").distinct().hint("merge"), "node", "left_semi").select("k1", "k2", "node")
-    sets = scratch.table(_sets(texts.join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["node"])), "sets")
-    return dealt.join(sets.hint("merge"), "node").select("part", "node", "shingles").repartition("part").sortWithinPartitions("part").mapInArrow(_search, "a long, b long")
+    return _confirmed(scratch.table(together.unionByName(apart), "dealt"), classes, texts, scratch)
 
 
 def keep_one(docs: DataFrame, tile: int = 2_000) -> DataFrame:
@@ -187,11 +219,14 @@ def keep_one(docs: DataFrame, tile: int = 2_000) -> DataFrame:
     keyed = docs.select(*doc_key(), F.xxhash64(*others).alias("k3"), F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, 64).alias("head"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "head", "k1", "k2", "k3")
     marked = _marked(keyed)
-    classes = marked.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = marked.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     # numbered once and at rest: the numbers are as they were written, whichever task is run again
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     texts = keyed.select("k1", "k2", "text")
-    found = scratch.table(links(classes.select("node", "row.k1", "row.k2", "n", "bands"), texts, scratch, tile), "links")
+    known = classes.select("node", "row.k1", "row.k2", "n", "fp", "bands")
+    found = scratch.table(close(known, texts, scratch, tile), "close")
+    joined = scratch.table(connected_components(found, scratch), "joined")
+    found = found.unionByName(scratch.table(links(known, texts, scratch, joined, tile), "links"))
     roots = scratch.table(connected_components(found, scratch), "roots")
     kept = classes.select("node", "row").join(roots.hint("merge"), "node", "left")
     scratch.sweep()

@@ -44,10 +44,14 @@ def fingerprint(data: bytes | None, width: int = 4, seed: int = 42) -> int:
         starts = [0, *(ends[:-width] + 1).tolist()]
         digest = xxhash.xxh64_digest
         digests = [digest(text[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())]
-    n, counts = len(digests), np.zeros(64, np.int64)
+    return majority(np.frombuffer(b"".join(digests), np.uint8))
+
+
+def majority(digests: np.ndarray) -> int:
+    """The bits set in over half of the 8-byte ``digests``, laid end to end, as a signed 64-bit integer."""
+    n, counts = len(digests) // 8, np.zeros(64, np.int64)
     for k in range(0, n, 1 << 14):
-        part = np.frombuffer(b"".join(digests[k : k + (1 << 14)]), np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+        counts += np.unpackbits(digests[8 * k : 8 * (k + (1 << 14))].reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
@@ -158,8 +162,11 @@ def _search(tau: int, small: int = 48):
     return run
 
 
-def links(nodes: DataFrame, scratch: Scratch, tau: int = 4, tile: int = 20_000) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the fingerprints ``nodes(fp)`` that differ in at most ``tau`` bits."""
+def links(nodes: DataFrame, scratch: Scratch, tau: int = 4, tile: int = 20_000, small: int = 48) -> DataFrame:
+    """A spanning forest ``(a, b)`` of the fingerprints ``nodes(fp)`` that differ in at most ``tau`` bits.
+
+    Keys of up to ``small`` members are compared pair by pair, many at once; that changes the plan only.
+    """
     masks = key_masks(tau)
     keys = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("tab", "bits")).select(F.xxhash64("tab", "bits").alias("key"), F.col("tab").cast("int").alias("tab"), "fp")
     hot = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "hot")
@@ -169,7 +176,7 @@ def links(nodes: DataFrame, scratch: Scratch, tau: int = 4, tile: int = 20_000)
         dealt = keys.join(hot, "key", "left").withColumn("tiles", F.coalesce(tiles, F.lit(1))).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         dealt = dealt.select("tab", "fp", "key", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
         plain = dealt.select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("key"), "tab", "fp")
-    return plain.repartition("key").sortWithinPartitions("key").mapInArrow(_search(tau), "a long, b long")
+    return plain.repartition("key").sortWithinPartitions("key").mapInArrow(_search(tau, small), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, tile: int = 20_000) -> DataFrame:

@@ -16,9 +16,12 @@ merged by their bytes, and what is left in a bucket is refined on its suffixes.
 Hashes only deal out work: a byte goes only if bytes were compared.
 
 A bucket with over ``hot`` different occurrences (a common passage, whose contexts
-reach into its neighbours) first loses the windows whose own 128-bit hash occurs
-once, dealt by that hash and not by bucket; a window with a hash of its own is
-unique, so this drops nothing that repeats.
+reach into its neighbours) first loses windows that are unique, dealt by hashes of
+their bytes and not by bucket. Windows whose gram is in nearly the same place make a
+block; a block is unique if what its windows share is, and repeats throughout if all
+of it does. Only windows of the other blocks, some at each edge of a passage, are
+hashed one by one. What has a hash of its own is unique, so this drops nothing that
+repeats; of contexts that are equal, one stands for all.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BITS = 18
 _POWERS: list[np.ndarray] = []
 KEY = ("k1", "k2")
+#: Documents with contexts in hot buckets, up to which only their texts travel there; the texts of more come with all others.
+HOLDERS = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +74,18 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int | None = None) -> tup
     return contexts_of(data, length, q or length // 2)[:4]
 
 
+def _leftmost(h: np.ndarray, grams: int) -> np.ndarray:
+    """Of each ``grams`` successive hashes, the place of the leftmost smallest."""
+    low = (h & np.uint64((1 << 64) - (1 << _BITS))) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while width * 2 <= grams:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < grams:
+        low = np.minimum(low[: len(low) - (grams - width)], low[grams - width :])
+    return (low & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+
+
 def contexts_of(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``anchors``, and whether the windows have several grams.
 
@@ -85,14 +102,7 @@ def contexts_of(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.n
     for start in range(0, len(data) - length + 1, step):
         part = data[start : start + step + length - 1]
         h = gram_hashes(part, q)
-        low = (h & np.uint64((1 << 64) - (1 << _BITS))) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        while width * 2 <= grams:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < grams:
-            low = np.minimum(low[: len(low) - (grams - width)], low[grams - width :])
-        at = (low & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        at = _leftmost(h, grams)
         g = h[at]
         new = np.r_[True, g[1:] != g[:-1]]
         since = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
@@ -232,46 +242,60 @@ def _listed(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.select(*KEY, "text").mapInArrow(run, _LISTED)
 
 
-def _windows(dealt: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, g, p, h1, h2``: each window of the contexts named in ``need`` with the 128 bits of its hash."""
+def _blocks(dealt: DataFrame, length: int, q: int) -> DataFrame:
+    """``id, a, b, core, hull``: the blocks of the contexts in ``need``, from the context's window a to b, with a hash of the bytes that all its windows share and of all their bytes."""
+    grams = length - q + 1
+    step = max(1, grams // 12)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, 64):
             rows: list[tuple] = []
-            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
-                if not need:
-                    continue
+            for text, need in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
                 view = memoryview(text.as_buffer())
                 for x in need:
                     first, last = _place(x["pos"])
-                    for p in range(first, last + 1):
-                        h = xxhash.xxh3_128_intdigest(view[p : p + length])
-                        rows.append((k1, k2, x["g"], p, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
+                    raw = view[first : last + length]
+                    at = _leftmost(gram_hashes(np.frombuffer(raw, np.uint8), q), grams)
+                    offset = at - np.arange(len(at))  # equal windows have their gram at the same one
+                    block = offset // step
+                    edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (block[1:] != block[:-1]), True])
+                    g = x["g"] & ((1 << 64) - 1)
+                    for a, b in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist()):
+                        k, o, gram = int(block[a]), int(offset[a]), int(at[a])
+                        low, high = gram - k * step, gram - min(k * step + step, grams) + 1 + length
+                        core, hull = digest(raw[low:high], g ^ k), digest(raw[a : b + length], g ^ (o + 1 << 32))
+                        rows.append((x["id"], a, b, core - (1 << 63), hull - (1 << 63)))
                     if len(rows) > 50_000:
-                        yield _table(rows, [*KEY, "g", "p", "h1", "h2"])
+                        yield _table(rows, ["id", "a", "b", "core", "hull"])
                         rows = []
-            yield _table(rows, [*KEY, "g", "p", "h1", "h2"])
+            yield _table(rows, ["id", "a", "b", "core", "hull"])
 
-    return dealt.mapInArrow(run, "k1 long, k2 long, g long, p long, h1 long, h2 long")
+    return dealt.mapInArrow(run, "id long, a long, b long, core long, hull long")
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
-
-
-def _hashed(dealt: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, pos, g, c`` of the contexts named in ``need``."""
+def _windows(dealt: DataFrame, length: int) -> DataFrame:
+    """``id, a, h, only``: each window of the blocks named in ``need`` with its hash; ``only`` is 0 for blocks that repeat throughout."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, 64):
             rows: list[tuple] = []
-            for k1, k2, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
-                for x in need or ():
-                    first, last = _place(x["pos"])
-                    rows.append((k1, k2, x["pos"], x["g"], xxhash.xxh3_64_intdigest(memoryview(text.as_buffer())[first : last + length]) - (1 << 63)))
-            yield _table(rows, [*KEY, "pos", "g", "c"])
+            for text, need in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
+                view = memoryview(text.as_buffer())
+                for x in need:
+                    first, g = _place(x["pos"])[0], x["g"] & ((1 << 64) - 1)
+                    rows += [(x["id"], k, digest(view[first + k : first + k + length], g) - (1 << 63), x["only"]) for k in range(x["a"], x["b"] + 1)]
+                    if len(rows) > 50_000:
+                        yield _table(rows, ["id", "a", "h", "only"])
+                        rows = []
+            yield _table(rows, ["id", "a", "h", "only"])
+
+    return dealt.mapInArrow(run, "id long, a long, h long, only long")
 
-    return dealt.mapInArrow(run, _LISTED)
+
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
 
 
 def _contexts(dealt: DataFrame, length: int, held_bytes: int = 8 << 20) -> DataFrame:
@@ -353,6 +377,48 @@ def _refined(contexts: DataFrame, length: int, at_once: int = 1 << 17) -> DataFr
     return contexts.repartition("g").sortWithinPartitions("g", "c", "context").mapInArrow(run, "g long, c long, first long, last long")
 
 
+def _hot(docs: DataFrame, hot: DataFrame, scratch: Scratch, length: int, q: int) -> DataFrame:
+    """``k1, k2, pos, g, c`` of what is left of the contexts ``hot(k1, k2, pos, g, c)`` without windows that are unique by hash.
+
+    Contexts that have an equal stay whole; of the others, runs of windows stay, named by the hashes of their parts.
+    """
+
+    def named(places: DataFrame, *more: str) -> DataFrame:
+        need = places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "g", "id", *more)).alias("need"))
+        return docs.select(*KEY, "text").join(need.hint("merge"), list(KEY)).select("text", "need")
+
+    holders = scratch.table(hot.select(*KEY).distinct(), "holders")
+    if holders.count() <= HOLDERS:
+        docs = docs.join(F.broadcast(holders), list(KEY), "left_semi")
+    equal = hot.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos")).alias("one"))
+    # numbered once and at rest
+    each = scratch.table(equal.select("one.*", "g", "c", "n", F.monotonically_increasing_id().alias("id")), "hot")
+    blocks = scratch.table(_blocks(named(each), length, q), "blocks")
+    scratch.sweep()
+    weight = each.select("id", F.least("n", F.lit(2)).alias("w"))
+    block = F.struct("id", "a", "b")
+    hulls = blocks.join(weight.hint("merge"), "id").groupBy("core", "hull").agg(F.sum("w").alias("n"), F.min(block).alias("one"))
+    hulls = scratch.table(hulls, "hulls")
+    cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).where("hulls > 1 and least = 1")
+    open_ = hulls.join(cores.select("core").hint("merge"), "core", "left_semi").select("one.*", F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("only"))
+    open_ = scratch.table(open_.join(each.select("id", *KEY, "pos", "g").hint("merge"), "id"), "open")
+    windows = scratch.table(_windows(named(open_, "a", "b", "only"), length), "windows")
+    scratch.sweep()
+    again = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    parts = windows.where("only = 1").join(again.hint("merge"), "h", "left_semi").select("id", "a", F.col("a").alias("b"), "h")
+    throughout = blocks.join(hulls.where("n > 1").select("core", "hull").hint("merge"), ["core", "hull"], "left_semi").select("id", "a", "b", F.col("hull").alias("h"))
+    alone = each.where("n = 1").select("id", *KEY, "pos", "g")
+    parts = parts.unionByName(throughout).join(alone.hint("merge"), "id")
+    by = W.partitionBy("id").orderBy("a")
+    parts = parts.withColumn("new", F.when(F.col("a") == F.lag("b").over(by) + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = parts.groupBy("id", "run").agg(*[F.first(x).alias(x) for x in (*KEY, "pos", "g")], F.min("a").alias("first"), F.max("b").alias("last"), F.array_sort(F.collect_list(F.struct("a", "h"))).alias("h"))
+    begin = F.shiftright("pos", 17) + F.col("first")
+    runs = scratch.table(runs.select(*KEY, (F.shiftleft(begin, 17) + F.col("last") - F.col("first")).alias("pos"), "g", F.xxhash64("h.h").alias("c")), "runs")
+    for done in (blocks, hulls, open_, windows, holders):
+        scratch.drop(done)
+    return hot.join(each.where("n > 1").select("g", "c").hint("merge"), ["g", "c"], "left_semi").select(*KEY, "pos", "g", "c").unionByName(runs)
+
+
 def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = 4_000) -> DataFrame:
     """``docs(k1, k2, doc_id, text)`` with ``spans``: byte ranges (first, last, end exclusive), unmerged, that are covered by repeated strings; null if none."""
     if length > 1 << 16:
@@ -366,17 +432,9 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
     del each, buckets
     scratch.sweep()
     if places.where("hot").head(1):
-        windows = scratch.table(_windows(dealt(places.where("hot")), length), "windows")
-        again = windows.groupBy("g", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("g", "h1", "h2")
-        left = windows.join(again, ["g", "h1", "h2"], "left_semi")
-        left = left.withColumn("run", F.col("p") - F.row_number().over(W.partitionBy(*KEY, "g").orderBy("p")))
-        left = left.groupBy(*KEY, "g", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
-        # as many windows together as a context may have
-        left = left.withColumn("first", F.explode(F.sequence("first", "last", F.lit(length)))).withColumn("last", F.least("last", F.col("first") + length - 1))
-        left = left.select(*KEY, (F.shiftleft("first", 17) + F.col("last") - F.col("first")).alias("pos"), "g", F.lit(0).cast("long").alias("c"))
-        runs = scratch.table(_hashed(dealt(left), length), "runs")
-        scratch.drop(windows)
-        places = places.where("not hot").drop("hot").unionByName(runs)
+        left = scratch.table(_hot(docs, places.where("hot").drop("hot"), scratch, length, max(1, length // 4)), "left")
+        scratch.sweep()
+        places = places.where("not hot").drop("hot").unionByName(left)
     # both joins read the documents by the same exchange
     found = _refined(_contexts(dealt(places), length), length)
     spans = places.join(found, ["g", "c"]).select(*KEY, (F.shiftright("pos", 17) + F.col("first")).alias("first"), (F.shiftright("pos", 17) + F.col("last") + length).alias("last"))

@@ -1,9 +1,12 @@
 """What failed only on larger tables, on inputs as small as show it."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossweave.operators import build, rank
+from glossweave.operators import build, digraph, feedback, numbered, rank, structure
 
 
 def test_squared_distances_past_32_bits(spark):
@@ -22,3 +25,49 @@ def test_attacks_of_a_large_clique_are_counted_without_pairs(spark):
     want = {r.key: len(r.members) for r in cliques.collect()}
     got = {r.key: (r["size"], r.attacks) for r in build.rival_counts(few).collect()}
     assert {k: n for k, (n, _) in got.items()} == want and pairs.count() == sum(a for _, a in got.values())
+
+
+def _random_edges(seed, n, m):
+    rng = random.Random(seed)
+    return sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_solvers_on_numbers_choose_as_those_on_sets(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(numbered, "PLAIN", rng.choice([0, 3, 20_000]))
+    monkeypatch.setattr(numbered, "CHUNK", rng.choice([5, 4_000_000]))
+    n = rng.choice([5, 14, 40, 60])
+    pairs = _random_edges(seed, n, int(n * rng.choice([1.2, 1.8, 2.5, 5])))
+    g = digraph.graph_of(range(n), pairs)
+    new = lambda: numbered.Graph(n, np.array([a for a, _ in pairs], np.int32), np.array([b for _, b in pairs], np.int32))
+    assert dict(enumerate(new().components(np.arange(n)).tolist())) == {v: p[0] for p in digraph.components(g) for v in p}
+    for limit in (1, 3, 12):
+        h = new()
+        assert sorted(numbered.exact_small_greedy(h, h.cyclic(np.arange(n)), limit)) == sorted(digraph._exact_small_greedy_sets(g, limit)["seed"])
+    for method, k in (("bounded-scc", 1), ("bounded-scc", 3), ("exact-cutting", 6)):
+        h, want = new(), digraph.METHODS[method](g, k)
+        got, left = numbered.METHODS[method][0](h, h.cyclic(np.arange(n)), k)
+        assert (sorted(got), len(left)) == (sorted(want["seed"]), want["residual"])
+
+
+def test_stages_go_on_until_no_cycle_is_left(spark):
+    """In one task as in rounds, also past 200 of them; and a graph of the size that took rounds before stays in one task."""
+    pairs = [(f"v{a:03d}", f"v{b:03d}") for a, b in _random_edges(5, 40, 130)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    (one, m), (more, k) = feedback.staged(df, hubs=1, passes=1, small=3), feedback.staged(df, hubs=1, passes=1, small=3, one_task_edges=0)
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, k.collect())) and sorted(map(tuple, one.collect())) == sorted(map(tuple, more.collect()))
+    full = np.array([(a, b) for a in range(260) for b in range(260)], np.int32)
+    seed, metrics = numbered.staged(numbered.Graph(260, full[:, 0], full[:, 1]), 1, 1, 3, None)
+    assert len(seed) == 260 and metrics[-1][3] == 0 and len(metrics) > 400
+
+
+def test_solved_components_keep_their_labels(spark):
+    pairs = [(f"v{a:02d}", f"v{b:02d}") for a, b in _random_edges(3, 30, 60)]
+    g = digraph.graph_of({x for p in pairs for x in p}, pairs)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    for method in numbered.METHODS:
+        seed, per = feedback.solve(df, structure.scc(df), method, 4)
+        want = {p[0]: (len(p), digraph.METHODS[method](digraph.graph_of(p, pairs), 4)) for p in digraph.cyclic_components(g)}
+        assert {r.scc: (r["size"], r.seeds, r.exact, r.residual) for r in per.collect()} == {k: (n, len(w["seed"]), w["exact"], w["residual"]) for k, (n, w) in want.items()}
+        assert {r.node for r in seed.collect()} == {v for _, w in want.values() for v in w["seed"]}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossweave.operators import build, digraph, feedback, numbered, rank, structure
+from glossweave.operators import build, cluster, digraph, feedback, numbered, rank, structure
 
 
 def test_squared_distances_past_32_bits(spark):
@@ -71,3 +71,59 @@ def test_solved_components_keep_their_labels(spark):
         want = {p[0]: (len(p), digraph.METHODS[method](digraph.graph_of(p, pairs), 4)) for p in digraph.cyclic_components(g)}
         assert {r.scc: (r["size"], r.seeds, r.exact, r.residual) for r in per.collect()} == {k: (n, len(w["seed"]), w["exact"], w["residual"]) for k, (n, w) in want.items()}
         assert {r.node for r in seed.collect()} == {v for _, w in want.values() for v in w["seed"]}
+
+
+def _senses(spark, seed, n=60):
+    rng = random.Random(seed)
+    words = [f"qu{c}" for c in "abcdefghijkl"] + ["lamb", "kid"]
+    rows = [(f"s{k}", rng.choice(words[:6]), rng.choice(["n", "v", None] if seed == 2 else ["n", "v"]), k % 5, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "node string, lemma string, pos string, rank int, definition string")
+
+
+def _resolved(rows, fallback, own_lemma):
+    """Every candidate of every gloss, by the definition."""
+    rows = [r for r in rows if r[4]]
+    lemmas, out, counters = {r[1] for r in rows}, set(), {}
+    signature = {r[0]: set(r[4].split()) | ({r[1]} if own_lemma else set()) for r in rows}
+    for node, _, pos, _, text in rows:
+        for c in text.split():
+            if c not in lemmas:
+                continue
+            some = [r for r in rows if r[1] == c and r[0] != node]
+            same = [r for r in some if pos is not None and r[2] == pos]
+            level, some = ("same_pos_", same) if same else ("any_pos_", some)
+            how, won = "self_only", None
+            if len(some) == 1:
+                how, won = level + "unique", some[0][0]
+            elif some:
+                how = "ambiguous"
+                shared = sorted((-len((signature[node] & signature[r[0]]) - {c}), r[0]) for r in some)
+                if shared[0][0] < 0 and shared[0][0] < shared[1][0]:
+                    how, won = level + "overlap", shared[0][1]
+                elif fallback:
+                    how, won = level + "fallback", min((r[3], r[0]) for r in some)[1]
+            counters[how] = counters.get(how, 0) + 1
+            if won:
+                out.add((won, node))
+    return out, counters
+
+
+@pytest.mark.parametrize(("seed", "fallback", "own_lemma"), [(1, False, True), (2, True, True), (3, True, False)])
+def test_senses_are_told_apart_by_blocks_as_one_by_one(spark, monkeypatch, seed, fallback, own_lemma):
+    monkeypatch.setattr(build, "BLOCK", 25)
+    rows, df = _senses(spark, seed)
+    g = build.sense_graph(df, fallback, own_lemma)
+    want, counters = _resolved(rows, fallback, own_lemma)
+    assert {tuple(r) for r in g.edges.collect()} == want
+    assert {r.resolution: r.n for r in g.counters.collect()} == counters
+    plan = g.edges._jdf.queryExecution().toString()
+    assert "row_number" not in plan  # no window over pairs of senses, which filled the disks
+
+
+def test_gate_scores_are_those_of_the_gate(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SENSES", 3)
+    rows, df = _senses(spark, 4)
+    s = df.withColumnRenamed("node", "sense_id")
+    pairs = spark.createDataFrame([("qua", "qub", ["r"]), ("quc", "quf", ["r"]), ("qud", "none", ["q"])], "a string, b string, rules array<string>")
+    want = {(r.a, r.b): (r.rules, r.best_score, r.accepted) for r in cluster.gloss_gate(pairs, s, 0.4).collect()}
+    assert {(r.a, r.b): (r.rules, r.best_score, r.accepted) for r in cluster.gate_scores(pairs, s, 0.4).collect()} == want

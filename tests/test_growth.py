@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glossweave.plans import fixtures
 from glossweave.operators import build, cluster, digraph, feedback, numbered, rank, structure
 
 
@@ -127,3 +128,35 @@ def test_gate_scores_are_those_of_the_gate(spark, monkeypatch):
     pairs = spark.createDataFrame([("qua", "qub", ["r"]), ("quc", "quf", ["r"]), ("qud", "none", ["q"])], "a string, b string, rules array<string>")
     want = {(r.a, r.b): (r.rules, r.best_score, r.accepted) for r in cluster.gloss_gate(pairs, s, 0.4).collect()}
     assert {(r.a, r.b): (r.rules, r.best_score, r.accepted) for r in cluster.gate_scores(pairs, s, 0.4).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_reach_is_counted_in_blocks_of_bits(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(numbered, "BLOCK_BYTES", rng.choice([1, 700, 64_000_000]))
+    n = rng.choice([5, 40, 150])
+    pairs = _random_edges(seed, n, int(n * rng.choice([0.8, 1.2, 2])))
+    got = numbered.reach_counts(numbered.Graph(n, np.array([a for a, _ in pairs], np.int32), np.array([b for _, b in pairs], np.int32)))
+    g = digraph.graph_of(range(n), pairs)
+    for v in range(n):
+        seen, todo = set(), list(g[v])
+        while todo:
+            w = todo.pop()
+            if w not in seen:
+                seen.add(w)
+                todo += g[w]
+        assert got[v] == len(seen)
+
+
+def test_pairs_that_would_not_fit_are_counted(spark):
+    """A ring of 60,000 nodes has 3.6 billion pairs."""
+    ring = spark.range(60_000).select(F.col("id").cast("string").alias("src"), ((F.col("id") + 1) % 60_000).cast("string").alias("dst"))
+    assert structure.reach_counts(ring).groupBy("n").count().collect() == [(60_000, 60_000)]
+
+
+def test_a_lemma_needs_no_tokens_of_the_whole_text(spark, tmp_path):
+    rows = [(1, "en", "  (The lamb's) kid", "a", 3), (2, "de", "12 !", "a", 4), (3, "de", None, "a", 0), (4, "fr", "Don't", "b", 5)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    e = fixtures.entries(spark, str(tmp_path))
+    assert sorted(map(tuple, e.select("ord", "lemma", "form", "gloss").collect())) == [(1, "the", "The", ["lambs", "kid"]), (4, "dont", "Don't", [])]
+    assert "regexp_extract_all" not in e.select("lemma", "n_chars")._jdf.queryExecution().optimizedPlan().toString()

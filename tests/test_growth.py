@@ -160,3 +160,21 @@ def test_a_lemma_needs_no_tokens_of_the_whole_text(spark, tmp_path):
     e = fixtures.entries(spark, str(tmp_path))
     assert sorted(map(tuple, e.select("ord", "lemma", "form", "gloss").collect())) == [(1, "the", "The", ["lambs", "kid"]), (4, "dont", "Don't", [])]
     assert "regexp_extract_all" not in e.select("lemma", "n_chars")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_swaps_on_numbers_are_those_on_names(spark, seed):
+    """As the same chain over a set of pairs of names, which held every edge as strings."""
+    pairs = [(f"v{a:02d}", f"v{b:02d}") for a, b in _random_edges(seed, 30, 120)]
+    df = rank.edge_swaps(spark.createDataFrame(pairs, "src string, dst string"), 500, seed)
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+    got = {tuple(r) for r in df.collect()}
+    rng, e = random.Random(seed), sorted({p for p in pairs if p[0] != p[1]})
+    have = set(e)
+    for _ in range(500):
+        i, j = rng.randrange(len(e)), rng.randrange(len(e))
+        (a, b), (c, d) = e[i], e[j]
+        if len({a, b, c, d}) == 4 and (a, d) not in have and (c, b) not in have:
+            have = have - {(a, b), (c, d)} | {(a, d), (c, b)}
+            e[i], e[j] = (a, d), (c, b)
+    assert got == set(e) != set(pairs)
